@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import sys
 import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z; bytes outside words (``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lowering) to a space.
@@ -55,6 +57,57 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., tuple], schema
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, pa.Table]]:
+    """Rows in pieces of about `most` characters of text (the last column), each with a name.
+
+    The name comes from the partition and the content, so that reading the same rows again gives the same
+    names. Whoever joins by it must raise if an answer is missing, as rows could come in another order.
+    """
+    from pyspark import TaskContext
+
+    held: list[pa.RecordBatch] = []
+    size = n = 0
+
+    def named():
+        t, mark = pa.Table.from_batches(held), hashlib.sha256()
+        for c in t.columns:
+            for piece in c.chunks:
+                mark.update(repr(piece.to_pylist()).encode())
+        return f"{TaskContext.get().partitionId()}-{n}-{mark.hexdigest()[:16]}", t
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            held.append(part)
+            size += pc.sum(pc.utf8_length(part.column(part.num_columns - 1))).as_py() or 0
+            if size >= most:
+                yield named()
+                held, size, n = [], 0, n + 1
+    if held:
+        yield named()
+
+
+def packed(docs: DataFrame, most: int) -> DataFrame:
+    """chunk, docs: the chunks of rows, each compressed into one value that unpacked() reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for name, t in chunks(batches, most):
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, t.schema) as w:
+                w.write_table(t)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], names=["chunk", "docs"])
+
+    return docs.mapInArrow(run, "chunk string, docs binary")
+
+
+def unpacked(blob: bytes) -> pa.Table:
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64), element by element."""
     x = x.astype(np.uint64, copy=True)
