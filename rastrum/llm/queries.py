@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, repeats, secrets, token_counts, top_k, url_filter
+from . import bpe, decontaminate, near_dup, quality, repeats, secrets, token_counts, top_k, url_filter
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_secrets, op5_repeats, op6_quality, op7_token_counts, op8_decontamination, op9_url_filter, op10_top_k)}
+    return {f.__name__: f for f in (op1_bpe, op3_secrets, op4_near_dup, op5_repeats, op6_quality, op7_token_counts, op8_decontamination, op9_url_filter, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
