@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dup, quality, repeats, secrets, token_counts, top_k, url_filter
+from . import bpe, decontaminate, line_dedup, near_dup, quality, repeats, secrets, token_counts, top_k, url_filter
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), _tokenizer(WORD_BPE))
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_secrets, op4_near_dup, op5_repeats, op6_quality, op7_token_counts, op8_decontamination, op9_url_filter, op10_top_k)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_secrets, op4_near_dup, op5_repeats, op6_quality, op7_token_counts, op8_decontamination, op9_url_filter, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
