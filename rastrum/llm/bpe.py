@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
@@ -30,7 +32,14 @@ from .common import map_rows, sha256_hex, worker_cache
 #: Words up to this many symbols are merged at once; longer ones in chunks.
 CHUNK = 4096
 #: Words kept with their tokens; the older half goes when it is full.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 800_000
+
+
+#: What the pattern of lower-casing files says of ASCII text.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: Bits of a token's id; a rank over all others.
+BITS = 24
+NO_MERGE = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -90,7 +99,8 @@ class BpeCodec:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.pairs = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(self.merges)}
+        # A pair's rank and what it becomes, in one integer.
+        self.pairs = {(self.vocab[a], self.vocab[b]): r << BITS | self.vocab[a + b] for r, (a, b) in enumerate(self.merges)}
         self.lookahead = sufficient_lookahead([(a, b.removesuffix(self.suffix) if self.suffix else b) for a, b in self.merges])
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
@@ -126,6 +136,8 @@ class BpeCodec:
 
     def split(self, text: str) -> list[str]:
         """The words of a text, normalised if the file says so."""
+        if self.lower and text.isascii():
+            return ASCII_WORDS.findall(text.lower())
         newer = not text.isascii() and self.newer.search(text)
         if self.lower and newer:
             from tokenizers import normalizers
@@ -138,16 +150,35 @@ class BpeCodec:
         return (self.words_newer if newer else self.words).findall(text)
 
     def merge(self, ids: list[int]) -> list[int]:
-        """The merges of the list, lowest rank first and leftmost first within a rank."""
-        pairs = self.pairs
+        """The merges of the list, lowest rank first and leftmost first within a rank. Changes ids."""
+        get = self.pairs.get
+        if len(ids) > 256:
+            return self._merge_long(ids)
+        ranks = [get(p, NO_MERGE) for p in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NO_MERGE:
+                break
+            i = ranks.index(best)
+            del ranks[i], ids[i + 1]
+            ids[i] = best & ((1 << BITS) - 1)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NO_MERGE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same, all places of a rank in one pass."""
+        get = self.pairs.get
         while len(ids) > 1:
-            best = min((p for p in map(pairs.get, zip(ids, ids[1:])) if p), default=None)
-            if best is None:
+            best = min(get(p, NO_MERGE) for p in zip(ids, ids[1:]))
+            if best == NO_MERGE:
                 break
             out, i, n = [], 0, len(ids)
             while i < n:
-                if i + 1 < n and pairs.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
+                if i + 1 < n and get((ids[i], ids[i + 1])) == best:
+                    out.append(best & ((1 << BITS) - 1))
                     i += 2
                 else:
                     out.append(ids[i])
@@ -165,7 +196,7 @@ class BpeCodec:
                     held.append(self.symbol[pending])
                 pending = b
                 if len(held) >= CHUNK + self.lookahead:
-                    tokens, at = self.merge(held), 0
+                    tokens, at = self.merge(held[:]), 0
                     for token in tokens:
                         if at + self.length[token] > len(held) - self.lookahead:
                             break
@@ -175,16 +206,16 @@ class BpeCodec:
         if pending is not None:
             yield from self.merge([*held, self.last[pending]])
 
-    def word(self, word: str) -> tuple[list[int], str, str]:
-        """A word's tokens, their ids as text, their names joined by a space."""
+    def word(self, word: str) -> tuple[int, str, str]:
+        """A word's number of tokens, their ids as text, their names joined by a space."""
         data = word.encode("utf-8", "surrogatepass")
         if len(data) > CHUNK:
             ids = list(self.transduce([data]))
         else:
             ids = self.merge([*(self.symbol[b] for b in data[:-1]), self.last[data[-1]]])
-        return ids, " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
 
-    def __missing__(self, word: str) -> tuple:
+    def _missing(self, word: str) -> tuple[int, str, str]:
         got = self.old.get(word) or self.word(word)
         if len(word) <= 64:
             if len(self.young) >= CACHED_WORDS // 2:
@@ -192,17 +223,20 @@ class BpeCodec:
             self.young[word] = got
         return got
 
-    def pieces(self, text: str) -> Iterator[list[tuple]]:
-        """What `word` gives for the words of each part between special tokens, in order."""
+    def pieces(self, text: str) -> list[tuple[int, str, str]]:
+        """What `word` gives for each word and special token, in order."""
+        found: list[tuple[int, str, str]] = []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                i = self.specials[part]
-                yield [([i], str(i), part)]
+                found.append((1, str(self.specials[part]), part))
             elif part:
-                yield [self.young.get(w) or self.__missing__(w) for w in self.split(part)]
+                get, missing = self.young.get, self._missing
+                found += [get(w) or missing(w) for w in self.split(part)]
+                # `get` is read anew for each part, as a full cache is replaced.
+        return found
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.pieces(text) for ids, _, _ in part for i in ids]
+        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split()]
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text piece by piece; special tokens are kept."""
@@ -222,11 +256,10 @@ class BpeCodec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids, SHA-256 of the decoded text."""
-        parts = [w for part in self.pieces(text or "") for w in part]
-        n = sum(len(w[0]) for w in parts)
-        ids = " ".join([w[1] for w in parts])
-        decoded = " ".join([w[2] for w in parts]) if not self.byte_level else self.decode(i for w in parts for i in w[0])
-        return n, sha256_hex(ids), sha256_hex(decoded)
+        parts = self.pieces(text or "")
+        ids = " ".join(map(itemgetter(1), parts))
+        decoded = " ".join(map(itemgetter(2), parts)) if not self.byte_level else self.decode(map(int, ids.split()))
+        return sum(map(itemgetter(0), parts)), sha256_hex(ids), sha256_hex(decoded)
 
 
 def codec(path: str) -> BpeCodec:
