@@ -53,13 +53,13 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 class Chunk:
-    """A chunk's documents as bytes, and its pieces: document, first byte, number of windows, least hash."""
+    """A chunk's documents as bytes, and its pieces: document, first byte, number of windows, least hash, hash of the content."""
 
     def __init__(self, t: pa.Table):
         self.ids = t.column(0).to_pylist()
         self.texts = [(x or "").encode("utf-8", "surrogatepass") for x in t.column(1).to_pylist()]
         found = [self._pieces(rows) for rows in self._slices()]
-        self.doc, self.start, self.windows, self.hash = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64)]
+        self.doc, self.start, self.windows, self.hash, self.content = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
         self.id = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
 
     def _slices(self) -> Iterator[list[int]]:
@@ -82,7 +82,8 @@ class Chunk:
         symbols = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(symbols[buf] * np.cumprod(np.full(n, _B)), out=prefix[1:])
-        least = mix64((prefix[M:] - prefix[:-M]) * np.cumprod(np.full(n - M + 1, _INVERSE)))
+        inverse = np.cumprod(np.full(n, _INVERSE))
+        least = mix64((prefix[M:] - prefix[:-M]) * inverse[: n - M + 1])
         wide = 1
         while wide < LENGTH - M + 1:
             step = min(wide, LENGTH - M + 1 - wide)
@@ -101,7 +102,8 @@ class Chunk:
         parts = -(-count // MOST_WINDOWS)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, count = np.repeat(first, parts) + step * MOST_WINDOWS, np.minimum(np.repeat(count, parts) - step * MOST_WINDOWS, MOST_WINDOWS)
-        return np.array(rows)[doc[first]], first - starts[doc[first]], count, least[first]
+        content = mix64((prefix[first + count + LENGTH - 1] - prefix[first]) * inverse[first] + count.astype(np.uint64))
+        return np.array(rows)[doc[first]], first - starts[doc[first]], count, least[first], content
 
     def text(self, k: int) -> bytes:
         return self.texts[self.doc[k]][self.start[k] : self.start[k] + self.windows[k] + LENGTH - 1]
@@ -167,7 +169,10 @@ def _met(key: tuple, asked: pa.Table) -> pa.Table:
 
 
 def _wanted(chunk: Chunk, met: list[dict], shards: int):
-    """The chunk's pieces whose hash is shared, by shard: number of the distinct string for each piece, a piece for each string."""
+    """The chunk's pieces whose hash is shared, by shard: their numbers, that of each one's string, a piece for each string.
+
+    Pieces are one string if both hashes agree, in 128 bits of which the first 64 name few strings.
+    """
     distinct, inverse, _ = chunk.hashes()
     shard, shared = shard_of(distinct, shards), np.zeros(len(distinct), bool)
     bits = {r["shard"]: r["data"] for r in met}
@@ -178,9 +183,13 @@ def _wanted(chunk: Chunk, met: list[dict], shards: int):
     pieces = np.flatnonzero(shared[inverse])
     for s, at in by_shard(shard[inverse[pieces]]):
         mine = pieces[at]
-        seen: dict[tuple, int] = {}
-        strings = np.array([seen.setdefault((int(chunk.hash[k]), chunk.text(k)), len(seen)) for k in mine], np.int64)
-        yield s, mine, strings, list(seen)
+        order = np.lexsort((chunk.content[mine], chunk.hash[mine]))
+        h, c = chunk.hash[mine][order], chunk.content[mine][order]
+        new = np.ones(len(mine), bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        strings = np.empty(len(mine), np.int64)
+        strings[order] = np.cumsum(new) - 1
+        yield s, mine, strings, mine[order][new]
 
 
 def _sent(shards: int):
@@ -193,8 +202,8 @@ def _sent(shards: int):
             for s, pieces, strings, distinct in _wanted(chunk, met.to_pylist(), shards):
                 low = np.full(len(distinct), NO_ID)
                 np.minimum.at(low, strings, chunk.id[chunk.doc[pieces]])
-                lengths = np.array([len(x) for _, x in distinct], np.uint16)
-                body = np.array([h for h, _ in distinct], np.uint64).tobytes() + low.tobytes() + lengths.tobytes() + b"".join([x for _, x in distinct])
+                lengths = (chunk.windows[distinct] + LENGTH - 1).astype(np.uint16)
+                body = chunk.hash[distinct].tobytes() + low.tobytes() + lengths.tobytes() + b"".join([chunk.text(k) for k in distinct.tolist()])
                 rows.append({"chunk": key[0].as_py(), "shard": s, "n": len(distinct), "pieces": zstandard.ZstdCompressor(level=1).compress(body)})
         return pa.Table.from_pylist(rows, schema=pa.schema([("chunk", pa.string()), ("shard", pa.int64()), ("n", pa.int64()), ("pieces", pa.binary())]))
 
@@ -227,8 +236,8 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return name >> 16, name & 0xFFFF
 
 
-def least_ids(strings: list[bytes], low: np.ndarray) -> list[np.ndarray]:
-    """For each string and window of LENGTH bytes, the smallest of the ids whose strings hold that window."""
+def least_ids(strings: list[bytes], low: np.ndarray) -> np.ndarray:
+    """For each window of LENGTH bytes of each string, in order, the smallest of the ids whose strings hold that window."""
     sid, off = suffix_order(strings)
     lens = np.array([len(s) for s in strings])
     keep = lens[sid] - off >= LENGTH
@@ -242,9 +251,15 @@ def least_ids(strings: list[bytes], low: np.ndarray) -> list[np.ndarray]:
         same[left] = flat[at[left] + k] == flat[at[left + 1] + k]
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     of = np.repeat(np.minimum.reduceat(low[sid], first), np.diff(np.append(first, len(at))))
-    out = np.empty(lens.sum(), np.int64)
-    out[at] = of
-    return [out[a : a + n - LENGTH + 1] for a, n in zip(np.cumsum(lens) - lens, lens, strict=True)]
+    windows = lens - LENGTH + 1
+    out = np.empty(windows.sum(), np.int64)
+    out[(np.cumsum(windows) - windows)[sid] + off] = of
+    return out
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
 def _answered(key: tuple, sent: pa.Table) -> pa.Table:
@@ -265,42 +280,36 @@ def _answered(key: tuple, sent: pa.Table) -> pa.Table:
     low, hash_ = np.full(len(distinct), NO_ID), np.zeros(len(distinct), np.uint64)
     np.minimum.at(low, of, lows)
     hash_[of] = hashes
-    answers: list[np.ndarray | None] = [None] * len(distinct)
+    windows = np.array([len(x) - LENGTH + 1 for x in distinct], np.int64)
+    base = np.cumsum(windows) - windows
+    # A window's answer is its string's own, unless other strings share the hash.
+    flat = np.repeat(low, windows)
     order = np.argsort(hash_, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], hash_[order][1:] != hash_[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-    block: list[int] = []
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-        if b - a == 1:
-            k = int(order[a])
-            answers[k] = np.full(len(distinct[k]) - LENGTH + 1, low[k])
-            continue
-        # Equal windows share a hash, so a block that holds all strings of its hashes is complete.
-        block += order[a:b].tolist()
-        if len(block) >= BLOCK:
-            _fill(answers, block, distinct, low)
-            block = []
-    if block:
-        _fill(answers, block, distinct, low)
-    runs = []
-    for x in answers:
-        new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        runs.append((np.diff(np.append(new, len(x))), x[new]))
+    first = np.flatnonzero(np.concatenate([[True], hash_[order][1:] != hash_[order][:-1]]))
+    size = np.diff(np.append(first, len(order)))
+    first, size = first[size > 1], size[size > 1]
+    # Equal windows share a hash, so a block that holds all strings of its hashes is complete.
+    block = np.cumsum(size) // BLOCK
+    for k in np.split(np.arange(len(first)), np.flatnonzero(np.diff(block)) + 1):
+        if len(k):
+            at = order[ranges(first[k], size[k])]
+            flat[ranges(base[at], windows[at])] = least_ids([distinct[i] for i in at.tolist()], low[at])
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[base] = True
+    start = np.flatnonzero(new)
+    width, ids = np.diff(np.append(start, len(flat))), flat[start]
+    begin = np.searchsorted(start, base)
+    runs = np.diff(np.append(begin, len(start)))
     data, at = [], 0
     for n in sizes:
-        mine = of[at : at + n].tolist()
+        mine = of[at : at + n]
         at += n
-        counts = np.array([len(runs[k][0]) for k in mine], np.uint8)
-        widths = np.concatenate([runs[k][0] for k in mine]).astype(np.uint8) if n else np.zeros(0, np.uint8)
-        ids = np.concatenate([runs[k][1] for k in mine]) if n else np.zeros(0, np.int64)
-        data.append(zstandard.ZstdCompressor(level=1).compress(np.int64(len(widths)).tobytes() + counts.tobytes() + widths.tobytes() + ids.tobytes()))
+        every = ranges(begin[mine], runs[mine])
+        data.append(zstandard.ZstdCompressor(level=1).compress(np.int64(len(every)).tobytes() + runs[mine].astype(np.uint8).tobytes() + width[every].astype(np.uint8).tobytes() + ids[every].tobytes()))
     return pa.table({"chunk": sent.column("chunk"), "shard": sent.column("shard"), "kind": pa.array(["answer"] * len(sizes)), "data": pa.array(data, pa.binary())})
 
 
-def _fill(answers: list, block: list[int], distinct: list[bytes], low: np.ndarray) -> None:
-    for k, x in zip(block, least_ids([distinct[k] for k in block], low[block]), strict=True):
-        answers[k] = x
-
-
 def _removed(shards: int, with_text: bool):
     def run(key: tuple, known: pa.Table, mine: pa.Table) -> pa.Table:
         import zstandard
@@ -318,9 +327,8 @@ def _removed(shards: int, with_text: bool):
                 widths = np.frombuffer(body, np.uint8, m, 8 + n).astype(np.int64)
                 ids = np.frombuffer(body, np.int64, m, 8 + n + m)
                 # Each piece takes the runs of its string.
-                mine_counts = counts[strings]
-                run = np.repeat((np.cumsum(counts) - counts)[strings], mine_counts) + np.arange(mine_counts.sum()) - np.repeat(np.cumsum(mine_counts) - mine_counts, mine_counts)
-                piece = np.repeat(pieces, mine_counts)
+                run = ranges((np.cumsum(counts) - counts)[strings], counts[strings])
+                piece = np.repeat(pieces, counts[strings])
                 within = np.cumsum(widths) - widths
                 within -= np.repeat(within[np.cumsum(counts) - counts], counts)
                 doc, a = chunk.doc[piece], chunk.start[piece] + within[run]
@@ -329,14 +337,15 @@ def _removed(shards: int, with_text: bool):
                 starts.append(a[hit])
                 ends.append((a + widths[run] + LENGTH - 1)[hit])
             doc, start, end = map(np.concatenate, (docs, starts, ends))
-            order = np.lexsort((start, doc))
-            spans: dict[int, list[list[int]]] = {}
-            for d, a, b in zip(doc[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
-                held = spans.setdefault(d, [])
-                if held and a <= held[-1][1]:
-                    held[-1][1] = max(held[-1][1], b)
-                else:
-                    held.append([a, b])
+            # On one line, with a byte between documents, spans that overlap or touch become one.
+            base = np.cumsum([0, *(len(x) + 1 for x in chunk.texts)])
+            a, b = base[doc] + start, base[doc] + end
+            order = np.argsort(a, kind="stable")
+            a, b, doc = a[order], np.maximum.accumulate(b[order]), doc[order]
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])) if len(a) else np.zeros(0, np.int64)
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for d, x, y in zip(doc[new].tolist(), (a[new] - base[doc[new]]).tolist(), (b[np.append(new[1:], len(a)) - 1] - base[doc[new]]).tolist() if len(a) else [], strict=True):
+                spans.setdefault(d, []).append((x, y))
             for i, (doc_id, text) in enumerate(zip(chunk.ids, chunk.texts, strict=True)):
                 cut = spans.get(i, [])
                 kept = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in cut)], [*(a for a, _ in cut), len(text)], strict=True)) if cut else text
