@@ -19,6 +19,17 @@ BLOCK = 1_000_000
 _B = "__block"
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared checkpoint folder the cluster names: later steps start from there.
+
+    Plans that use a result several times would otherwise grow with every step built on it.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or "/tmp/checkpoints/rastrum")
+    return df.checkpoint()
+
+
 def packed_order(high: Column, low: Column, bits: int) -> Column:
     """One long from two columns; low must stay under 2**bits."""
     return F.shiftleft(high.cast("long"), bits) + low.cast("long")
@@ -55,20 +66,23 @@ class Scan:
 
     def over(self, df: DataFrame) -> DataFrame:
         names = df.columns
-        df = df.withColumn(_B, F.floor(F.col(self.order) / self.block))
-        for kind, found in (("lag", self._lags), ("sum", self._sums), ("last", self._last), ("lead", self._leads)):
-            for k, v in found.items():
-                df = df.withColumn(f"__{kind}_{k}", v)
-        by = [*self.keys, _B]
         at = F.col(self.order)
+        exprs = [v.alias(f"__{kind}_{k}") for kind, found in (("lag", self._lags), ("sum", self._sums), ("last", self._last), ("lead", self._leads)) for k, v in found.items()]
+        by = [f"__k{i}" for i in range(len(self.keys))] + [_B]
+        # Rows are dealt out once, and the table of blocks is made from the same shuffle. It must need
+        # the same columns for that, so a row travels as one value that the blocks look at too (in an
+        # array, from which the optimiser doesn't take single fields before the shuffle).
+        df = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(self.keys)], F.floor(at / self.block).alias(_B), at.alias("__at"), F.array(F.struct(*names)).alias("__row"), *exprs).repartition(*by)
+        at = F.col("__at")
         lag_cols, lead_cols = [f"__lag_{k}" for k in self._lags], [f"__lead_{k}" for k in self._leads]
-        edges = [F.max_by(F.struct(*lag_cols), at).alias("__tail")] if lag_cols else []
+        edges = [F.max_by("__row", at).alias("__any")]
+        edges += [F.max_by(F.struct(*lag_cols), at).alias("__tail")] if lag_cols else []
         edges += [F.min_by(F.struct(*lead_cols), at).alias("__head")] if lead_cols else []
         edges += [F.sum(f"__sum_{k}").alias(f"__total_{k}") for k in self._sums]
         # The latest known value of a block is the one with the highest place among those known.
         edges += [F.max(F.when(F.col(f"__last_{k}").isNotNull(), F.struct(at.alias("at"), F.col(f"__last_{k}").alias("v")))).alias(f"__known_{k}") for k in self._last]
-        blocks = df.groupBy(*by).agg(*edges)
-        over = Window.partitionBy(*self.keys).orderBy(_B)
+        blocks = df.groupBy(*by).agg(*edges).where(F.col("__any").isNotNull())
+        over = Window.partitionBy(*by[:-1]).orderBy(_B)
         before = over.rowsBetween(Window.unboundedPreceding, -1)
         carry = [F.lag("__tail").over(over).alias("__tail")] if lag_cols else []
         carry += [F.lead("__head").over(over).alias("__head")] if lead_cols else []
@@ -78,7 +92,7 @@ class Scan:
         same = F.lit(True)
         for c in by:
             same = same & df[c].eqNullSafe(blocks[f"__b_{c}"])
-        inside = Window.partitionBy(*by).orderBy(self.order)
+        inside = Window.partitionBy(*by).orderBy("__at")
         upto = inside.rowsBetween(Window.unboundedPreceding, 0)
         joined = df.join(blocks, same, "left")
         out = joined
@@ -94,4 +108,4 @@ class Scan:
             out = out.withColumn(k, F.sum(f"__sum_{k}").over(upto) + F.col(f"__total_{k}"))
         for k in self._last:
             out = out.withColumn(k, F.coalesce(F.last(f"__last_{k}", ignorenulls=True).over(upto), F.col(f"__known_{k}")["v"]))
-        return out.select(*names, *self._lags, *self._leads, *self._sums, *self._last)
+        return out.withColumn("__row", F.element_at("__row", 1)).select(*[F.col("__row")[c].alias(c) for c in names], *self._lags, *self._leads, *self._sums, *self._last)

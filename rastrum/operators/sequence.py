@@ -67,20 +67,12 @@ def hysteresis(df: DataFrame, keys: list[str], order: str, label: str, needed: C
 
     needed may depend on the row's label; at_once: rows whose label installs without a run.
     """
-    numbered = islands(df, keys, order, F.col(label), "__run", block)
-    # A row's place in its run is its distance from the run's first row in row numbers.
-    counted = _scan(keys, order, block).running(__n=F.lit(1)).over(numbered)
-    opened = islands_first(counted, keys, order, "__run", "__n", block)
-    place = F.col("__n") - F.col("__first") + 1
-    installs = (place >= needed) | (at_once if at_once is not None else F.lit(False))
-    return _scan(keys, order, block).last(stable=F.when(installs, F.col(label))).over(opened).drop("__run", "__n", "__first")
-
-
-def islands_first(df: DataFrame, keys: list[str], order: str, run: str, value: str, block: int | None) -> DataFrame:
-    """Adds `__first`: the value on the first row of the row's run."""
-    before = _scan(keys, order, block).lag(__was=F.col(run)).over(df)
-    starts = F.when(~F.col("__was").eqNullSafe(F.col(run)), F.col(value))
-    return _scan(keys, order, block).last(__first=starts).over(before).drop("__was")
+    seen = _scan(keys, order, block).lag(__prev=F.struct(F.col(label).alias("v"))).running(__n=F.lit(1)).over(df)
+    changed = F.col("__prev").isNull() | ~F.col("__prev")["v"].eqNullSafe(F.col(label))
+    # A row's place in its run is its row number less that of the run's first row.
+    begun = _scan(keys, order, block).last(__first=F.when(changed, F.col("__n"))).over(seen)
+    installs = (F.col("__n") - F.col("__first") + 1 >= needed) | (at_once if at_once is not None else F.lit(False))
+    return _scan(keys, order, block).last(stable=F.when(installs, F.col(label))).over(begun).drop("__prev", "__n", "__first")
 
 
 def transitions(df: DataFrame, keys: list[str], order: str, state: str, block: int | None = None) -> DataFrame:
@@ -133,10 +125,11 @@ def anchors(df: DataFrame, keys: list[str], order: str, counter: str, ordinal: s
     pts0 + (n - ord0) * 5; a later resync's residual is its counter's time less that. A break
     (hole, unframed bytes, epoch) ends the run before the row.
     """
-    seen = _scan(keys, order, block).running(run=breaks.cast("long")).over(df)
-    first = islands_first(seen.withColumn("__at", F.struct(F.col(counter).alias("c"), F.col(ordinal).alias("o"))), keys, order, "run", "__at", block)
+    seen = _scan(keys, order, block).running(run=breaks.cast("long"), __n=F.lit(1)).over(df)
+    begins = F.when(breaks | (F.col("__n") == 1), F.struct(F.col(counter).alias("c"), F.col(ordinal).alias("o")))
+    first = _scan(keys, order, block).last(__first=begins).over(seen)
     pts = F.col("__first")["c"] * TICKS_PER_UNIT + (F.col(ordinal) - F.col("__first")["o"]) * TICKS_PER_SAMPLE
-    return first.withColumn("pts_ticks", pts).withColumn("residual_ticks", F.col(counter) * TICKS_PER_UNIT - F.col("pts_ticks")).drop("__first", "__at")
+    return first.withColumn("pts_ticks", pts).withColumn("residual_ticks", F.col(counter) * TICKS_PER_UNIT - F.col("pts_ticks")).drop("__first", "__n")
 
 
 def residual_steps(df: DataFrame, keys: list[str], order: str, residual: str, block: int | None = None) -> DataFrame:
