@@ -57,7 +57,8 @@ def spliced_count(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, ma
         wide = overlap
         while True:
             begin = end - wide
-            right_end = min(len(text), begin + chunk + overlap)
+            # The right chunk reaches far beyond the left one's end, so that it is stable there too.
+            right_end = min(len(text), end + chunk)
             right = tok.encode(text[begin:right_end], add_special_tokens=False)
             mine, theirs = boundaries(left, start), boundaries(right, begin)
             shared = [p for p in mine.keys() & theirs.keys() if begin < p <= end - margin and mine[p] >= first]
