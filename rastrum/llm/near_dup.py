@@ -14,10 +14,12 @@ hundred darts a document.
 
 Banded join. Documents with equal texts are one node first. Nodes that share a band of
 ROWS coordinates meet: each band's smallest node leads it, followers are held against the
-leader by their exact sets, and the links make components. Where a band still holds several
-components, other nodes lead in turn (1, 2, 4, ... of them a round) against those of other
-components, until every pair of a band is linked, in one component, or known to be no near copy.
-So no link between nodes of a band is lost, and no group's pairs are all emitted.
+leader by their exact sets, and the links make components. Nodes of bands that still
+hold several components meet once more by an exact prefix filter (prefix_keys): only sets
+that share a rare shingle early enough can be near copies. There the smallest nodes lead
+(64, 256, 1024, ... of them a round) against those of other components behind them whose
+places leave room for enough common shingles, until every pair of a key is linked, in one component, or known to be no near copy. So no link
+between nodes of a band is lost, and no group's pairs are all emitted.
 With 24 bands of 4 a pair of similarity 0.8 shares none with probability 3e-6.
 
 Null and empty texts, and texts without words, are copies of nothing; other equal texts are
@@ -40,6 +42,10 @@ from .common import WORD_TABLE, checkpoint_dir, mix64
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 SLICE_BYTES = 1_000_000
+#: Nodes of a key that lead in the first round; each later round has four times as many.
+FIRST_LEADS = 64
+#: Ratio of the sizes that bound a size class.
+CLASS_RATIO = 1.05
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -194,12 +200,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are near copies; sizes that rule one out are seen before any set moves."""
-    size = sets.select("node", "size")
-    sized = pairs.join(size.withColumnsRenamed({"node": "a", "size": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "size": "nb"}), "b")
-    able = sized.where(F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4 if THRESHOLD == 0.8 else F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")).select("a", "b")
+    """The pairs (a, b) that are near copies, by their exact sets."""
     of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-    return able.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
+
+
+def able(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sizes don't rule a near copy out, before any set moves."""
+    size = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"s{c}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b")
+    return sized.where(F.least("sa", "sb") >= F.greatest("sa", "sb") * (THRESHOLD - 1e-9)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,6 +230,38 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, size, shingle: a row for each shingle of each set."""
+    for batch in batches:
+        for node, size, data in zip(*(batch.column(k) for k in range(3)), strict=True):
+            h = np.frombuffer(data.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node.as_py())), pa.array(np.full(len(h), size.as_py())), pa.array(h)], names=["node", "size", "shingle"])
+
+
+def prefix_keys(sets: DataFrame) -> DataFrame:
+    """band, node, size, rest: keys of which any two near copies among these sets share one (exact prefix filter).
+
+    In each set shingles are ordered by how few sets hold them. Near copies of n and m shingles
+    share o >= (n + m) * THRESHOLD / (1 + THRESHOLD), so their first common shingle has at most
+    n - o shingles before it in one and m - o in the other. A key is a shingle and the size classes
+    of both sides; a set emits a shingle for a class if its place allows it. Sets whose rare shingles
+    are all their own emit nothing that others hold: they have no near copy, without a comparison.
+    """
+    rows = sets.mapInArrow(_shingles_of, "node long, size long, shingle long")
+    shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
+    mine = Window.partitionBy("node")
+    # Shingles that no other set holds come first; they are counted, not kept.
+    placed = shared.withColumn("place", F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "shingle")) - 1)
+    own = F.floor(F.log("size") / math.log(CLASS_RATIO) + 1e-9).cast("int")
+    reach = math.ceil(math.log(1 / THRESHOLD) / math.log(CLASS_RATIO))
+    # The least size of a class, rounded down: a longer prefix is only more work.
+    least = lambda c: F.floor(F.pow(F.lit(CLASS_RATIO), c) * (1 - 1e-6))
+    share = THRESHOLD / (1 + THRESHOLD)
+    other = F.filter(F.sequence(F.col("own") - reach, F.col("own") + reach), lambda c: F.col("size") - F.col("place") >= (F.col("size") + least(c)) * (share - 1e-9))
+    spread = placed.withColumn("own", own).withColumn("other", F.explode(other))
+    return spread.select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("band"), "node", "size", (F.col("size") - F.col("place")).alias("rest"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest id of its class): one row for each id of docs."""
     checkpoint_dir(docs.sparkSession)
@@ -233,23 +275,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = held.select("node").distinct()
     sets = docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(_sets, "node long, size long, set binary").dropDuplicates(["node"]).checkpoint()
     tried = held.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    edges = links(tried, sets).checkpoint()
+    edges = links(able(tried, sets), sets).checkpoint()
     classes = components(edges)
-    first, leads = 1, 1
+    # Bands that hold several components: their nodes meet again by the rarest shingles they share.
+    of = lambda c: classes.select("node", F.col("class").alias(c))
+    now = held.join(of("class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    split = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
+    left = now.join(split, "band").select("node").distinct()
+    held = prefix_keys(sets.join(left, "node", "left_semi")).checkpoint()
+    # The first key that two sets share leaves room for their overlap in both.
+    room = F.least("ra", "rb") * (1 + THRESHOLD) >= (F.col("sa") + F.col("sb")) * (THRESHOLD - 1e-9)
+    side = lambda df, c: df.select("band", F.col("node").alias(c), F.col("place").alias(f"p{c}"), F.col("class").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("rest").alias(f"r{c}"), "n")
+    placed, first, leads = None, 0, FIRST_LEADS
     while True:
-        # Bands that hold several components, their nodes in order; the next leads meet those behind them.
-        now = held.select("band", "node").distinct().join(classes, "node", "left").select("band", "node", F.coalesce("class", "node").alias("class"))
-        split = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") > first + 1)).select("band")
-        placed = now.join(split, "band").withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1).checkpoint()
-        if placed.isEmpty():
+        if placed is None:
+            # Keys that hold several components, their nodes in order.
+            now = held.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+            split = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
+            placed = now.join(split, "band").withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1).checkpoint()
+        rest = placed.where(F.col("n") > first + 1)
+        if rest.isEmpty():
             return _classed(signed, classes)
-        lead = placed.where((F.col("place") >= first) & (F.col("place") < first + leads)).select("band", F.col("node").alias("a"), F.col("place").alias("pa"), F.col("class").alias("ca"))
-        behind = placed.select("band", F.col("node").alias("b"), F.col("place").alias("pb"), F.col("class").alias("cb"))
-        pairs = lead.join(behind, "band").where("pb > pa AND ca <> cb").select("a", "b").distinct()
+        # The next leads meet those behind them.
+        lead = side(rest, "a").where((F.col("pa") >= first) & (F.col("pa") < first + leads)).drop("n")
+        pairs = lead.join(side(rest, "b").drop("n"), "band").where((F.col("pb") > F.col("pa")) & (F.col("ca") != F.col("cb")) & room).select("a", "b").distinct()
         more = links(pairs, sets).checkpoint()
-        first, leads = first + leads, leads * 2
+        first, leads = first + leads, leads * 4
         if not more.isEmpty():
-            edges = edges.union(more)
+            edges, placed = edges.union(more), None
             classes = components(edges)
 
 
