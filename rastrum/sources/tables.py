@@ -53,7 +53,8 @@ def decision_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_decision_log(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"', positiveInf="inf")
+    infinite = [F.when(F.col(c) == float("inf"), "inf").otherwise(F.col(c).cast("string")).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    df.select(*infinite).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
 _REPLAY = {
