@@ -97,7 +97,7 @@ def packed(docs: DataFrame, most: int) -> DataFrame:
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, t.schema) as w:
                 w.write_table(t)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], names=["chunk", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([zstandard.ZstdCompressor(level=7).compress(sink.getvalue())], pa.binary())], names=["chunk", "docs"])
 
     return docs.mapInArrow(run, "chunk string, docs binary")
 
@@ -119,6 +119,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs and where, in order."""
+    order = np.argsort(shard, kind="stable")
+    edges = np.flatnonzero(np.diff(shard[order])) + 1
+    for at in np.split(order, edges):
+        if len(at):
+            yield int(shard[at[0]]), at
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a default is set only where none is, as in tests."""
     sc = spark.sparkContext

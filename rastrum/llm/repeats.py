@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, chunks, mix64, packed, unpacked
+from .common import by_shard, checkpoint_dir, chunks, mix64, packed, unpacked
 
 LENGTH, M = 50, 20
 MOST_WINDOWS = 64
@@ -121,15 +121,6 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (hashes % np.uint64(shards)).astype(np.int64)
 
 
-def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each shard that occurs and where, in order."""
-    order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.diff(shard[order])) + 1
-    for at in np.split(order, edges):
-        if len(at):
-            yield int(shard[at[0]]), at
-
-
 def _asked(shards: int):
     """Of each chunk and shard: the hashes in order, and which of them two ids of the chunk hold."""
 
