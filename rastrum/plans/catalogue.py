@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ticks
-from ..operators import joins, sequence, stats
+from ..operators import joins, placement, sequence, signal, stats
+from . import audit, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -483,6 +484,94 @@ def key_sets(spark, sf_dir):
     return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "first only")).unionByName(n(a.union(b).distinct(), "any"))
 
 
+_PACKETS = """
+WITH p AS (SELECT 'events' AS capture_id, event_id AS file_off, CASE WHEN event_id % 41 = 7 THEN 1 ELSE 0 END AS rec_type, CASE WHEN user_id % 3 = 0 THEN 132 ELSE 131 END AS endpoint,
+  event_id // 16 AS submit_seq, event_id % 16 AS pkt_index, CASE WHEN event_type = 'error' THEN 5 ELSE 0 END AS status, 400 AS req_len, CAST(floor(least(value, 400)) AS BIGINT) AS actual_len FROM events),
+d AS (SELECT *, lag(submit_seq) OVER o AS ps, lag(pkt_index) OVER o AS pi FROM p WHERE rec_type = 0 WINDOW o AS (PARTITION BY endpoint ORDER BY file_off))
+"""
+
+
+def packets(spark, sf_dir):
+    """Events as records of a recording: two endpoints, 16 records a transfer, some of them losses."""
+    e = events(spark, sf_dir, "event_id", "user_id", "event_type", "value")
+    i = F.col("event_id")
+    return e.select(
+        F.lit("events").alias("capture_id"), i.alias("file_off"), F.when(i % 41 == 7, 1).otherwise(0).cast("byte").alias("rec_type"), F.when(F.col("user_id") % 3 == 0, 132).otherwise(131).cast("short").alias("endpoint"),
+        (i % 16).cast("int").alias("pkt_index"), F.expr("event_id div 16").alias("submit_seq"), F.when(F.col("event_type") == "error", 5).otherwise(0).cast("long").alias("status"), F.lit(400).cast("long").alias("req_len"),
+        F.floor(F.least("value", F.lit(400.0))).cast("long").alias("actual_len"), F.lit(None).cast("binary").alias("payload"),
+    )
+
+
+@query(_PACKETS + """SELECT CAST(endpoint AS BIGINT) AS endpoint, file_off, CAST(CASE WHEN ps IS NULL OR (submit_seq = ps AND pkt_index = pi + 1) OR (submit_seq = ps + 1 AND pkt_index = 0) THEN 0 ELSE 1 END
+  + CASE WHEN status <> 0 THEN 2 ELSE 0 END AS BIGINT) AS flags FROM d""")
+def transport_contiguity(spark, sf_dir):
+    got = transport.contiguity(packets(spark, sf_dir), 1_000_000)
+    return got.select(F.col("endpoint").cast("long").alias("endpoint"), "file_off", F.col("flags").cast("long").alias("flags"))
+
+
+@query(_PACKETS + """SELECT CAST(endpoint AS BIGINT) AS endpoint, count(*) AS records, CAST(sum(actual_len) AS BIGINT) AS bytes, CAST(sum(CASE WHEN actual_len = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_length,
+  CAST(sum(CASE WHEN actual_len > 0 AND actual_len < req_len THEN 1 ELSE 0 END) AS BIGINT) AS short_payload, CAST(sum(CASE WHEN ps IS NULL OR ps <> submit_seq THEN 1 ELSE 0 END) AS BIGINT) AS transfers,
+  CAST(sum(CASE WHEN submit_seq - ps > 1 THEN submit_seq - ps - 1 ELSE 0 END) AS BIGINT) AS sequence_gaps, CAST(sum(CASE WHEN status <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS status_errors FROM d GROUP BY endpoint""")
+def transport_statistics(spark, sf_dir):
+    got = transport.statistics(packets(spark, sf_dir), {131: 16, 132: 16}, 1_000_000)
+    return got.select(F.col("endpoint").cast("long").alias("endpoint"), "records", "bytes", "zero_length", "short_payload", "transfers", "sequence_gaps", "status_errors")
+
+
+@query(_PACKETS + """SELECT CAST(endpoint AS BIGINT) AS endpoint, CAST(sum(CASE WHEN rec_type = 0 THEN 1 ELSE 0 END) AS BIGINT) AS delivered_packets, CAST(sum(CASE WHEN rec_type = 0 THEN actual_len ELSE 0 END) AS BIGINT) AS delivered_bytes,
+  CAST(sum(CASE WHEN rec_type = 1 THEN req_len ELSE 0 END) AS BIGINT) AS lost_packets, CAST(sum(CASE WHEN rec_type = 1 THEN actual_len ELSE 0 END) AS BIGINT) AS lost_bytes FROM p GROUP BY endpoint""")
+def transport_balance(spark, sf_dir):
+    return transport.balance(packets(spark, sf_dir)).withColumn("endpoint", F.col("endpoint").cast("long")).drop("capture_id")
+
+
+@query(_PACKETS + "SELECT CAST(rec_type AS BIGINT) AS rec_type, count(*) AS n FROM p GROUP BY rec_type")
+def record_types(spark, sf_dir):
+    return transport.record_types(packets(spark, sf_dir)).select(F.col("rec_type").cast("long").alias("rec_type"), "n")
+
+
+def decision_rows(spark, sf_dir):
+    """Events as a decision log: each user's a stream, errors unpublished."""
+    e = events(spark, sf_dir, "user_id", "event_id", "event_type")
+    return e.select(
+        "user_id", "event_id", F.lit(1).cast("long").alias("epoch"), F.expr("event_id div 100 + event_id % 7 div 6").alias("counter_extended"), (F.col("event_type") != "error").cast("int").alias("published"),
+        F.when(F.col("event_type") == "error", "PoolFull").alias("drop_reason"), F.when(F.col("event_id") % 50 == 0, 2).otherwise(0).cast("long").alias("preceding_ring_drops"), F.lit(0).alias("reset_before"), F.lit(0).cast("long").alias("audio_step_samples"),
+    )
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, event_id // 100 + event_id % 7 // 6 AS c, event_type <> 'error' AS shown, CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END AS ring FROM events),
+h AS (SELECT *, sum(CASE WHEN shown THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS hidden FROM l),
+n AS (SELECT *, lag(c) OVER (PARTITION BY user_id ORDER BY event_id) AS b, lag(hidden) OVER (PARTITION BY user_id ORDER BY event_id) AS bh FROM h WHERE shown)
+SELECT user_id, b AS before, c AS after, greatest(c - b - 1, 0) AS missing, hidden > bh OR ring > 0 AS covered FROM n WHERE c <> b + 1""")
+def log_gaps(spark, sf_dir):
+    return audit.log_gaps(decision_rows(spark, sf_dir), ["user_id"], "event_id")
+
+
+@query("""
+SELECT user_id, count(*) AS rows, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS published, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS host_lost,
+  CAST(sum(CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS ring_drops FROM events GROUP BY user_id""")
+def log_summary(spark, sf_dir):
+    return audit.log_summary(decision_rows(spark, sf_dir), ["user_id"]).select("user_id", "rows", "published", "host_lost", "ring_drops")
+
+
+@query()
+def signal_states(spark, sf_dir):
+    """Confirmed appearance and source of each user's events; sequential, so tested on its own."""
+    names = {"click": "program", "view": "program", "purchase": "snow", "signup": "gray_mute", "error": "subblack_mute"}
+    label = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()])
+    e = events(spark, sf_dir, "user_id", "event_id", "event_type", "value")
+    units = e.select("user_id", "event_id", F.when(F.col("event_id") % 37 == 0, "hole").otherwise("complete").alias("transport"), label.alias("label"), F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"))
+    return signal.classify(units, ["user_id"], "event_id")
+
+
+@query()
+def slot_schedule(spark, sf_dir):
+    """Output slots of each user's events on a clock of their own; sequential, so tested on its own."""
+    e = events(spark, sf_dir, "user_id", "event_id")
+    i, unit = F.col("event_id"), F.expr("event_id div 128")
+    frames = e.select(F.col("user_id").cast("string").alias("capture_id"), i.alias("line"), unit.alias("counter"), (unit * 1001).alias("pts_num"), F.lit(30000).alias("pts_den"), (i % 11 != 0).cast("int").alias("audio_pts_known"), (unit * 8008 + i % 5 * 700).alias("audio_pts_num"))
+    return placement.schedule(frames)
+
+
 def queries() -> dict[str, Query]:
     return {"flagship": endpoint_stats} | {k: f for k, (f, _) in FOUND.items()}
 
