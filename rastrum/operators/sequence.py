@@ -195,3 +195,26 @@ def merge_spans(df: DataFrame, keys: list[str], start: str, end: str) -> DataFra
     opened = df.withColumn("__new", F.coalesce((F.col(start) > F.max(end).over(before)).cast("long"), F.lit(1)))
     numbered = opened.withColumn("__id", F.sum("__new").over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "__id").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__id")
+
+
+def drift_shifts(late: list[int], window: int = 16, step: int = 2_000_000, needed: int = 3, most_drift: int = 50_000) -> list[tuple[int, int]]:
+    """Places (completion, nanoseconds) at which a latency floor moved for good.
+
+    The floor falls at once and rises slowly; `needed` windows in a row whose least lies over it by
+    more than `step` are a shift, and the floor moves there.
+    """
+    out, floor, high, low = [], None, 0, None
+    for i, x in enumerate(late):
+        floor = x if floor is None else min(floor, x)
+        low = x if low is None else min(low, x)
+        if (i + 1) % window:
+            continue
+        rise, least, low = low - floor, low, None
+        if rise <= step:
+            high, floor = 0, floor + min(rise, most_drift)
+            continue
+        high += 1
+        if high >= needed:
+            out.append((i, rise))
+            high, floor = 0, least
+    return out
