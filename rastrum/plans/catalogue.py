@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ticks
-from ..operators import joins, placement, sequence, signal, stats
+from ..operators import framing, joins, placement, sequence, signal, stats
 from . import audit, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,6 +572,26 @@ def slot_schedule(spark, sf_dir):
     return placement.schedule(frames)
 
 
+@query("""
+SELECT CAST(r_regionkey AS BIGINT) AS ordinal, CASE WHEN r_regionkey < m THEN CAST(r_regionkey + 65533 AS BIGINT) % 65536 END AS counter16, CASE WHEN r_regionkey < m THEN CAST(r_regionkey + 65533 AS BIGINT) END AS counter_extended,
+  CASE WHEN r_regionkey < m THEN 'picture' ELSE 'unframed' END AS kind, CASE WHEN r_regionkey < m THEN 'complete' ELSE 'unframed' END AS transport, CAST(756048 AS BIGINT) AS byte_count, CAST(r_regionkey AS BIGINT) * 756048 AS start_off,
+  r_regionkey < m AS eligible FROM region, (SELECT max(r_regionkey) AS m FROM region)""")
+def framing_units(spark, sf_dir):
+    """A recording of one whole unit a region, in packets, framed again; the last has no successor and stays unframed."""
+    counter = F.pmod(F.col("r_regionkey") + 65533, F.lit(65536))
+    text = F.concat(F.lit("0000FFFF"), F.lpad(F.hex(counter % 256), 2, "0"), F.lpad(F.hex(F.floor(counter / 256)), 2, "0"), F.lit("01E8" + "00" * 40), F.repeat(F.lit("8010"), 378_000))
+    units = table(spark, sf_dir, "region").select("r_regionkey", F.unhex(text).alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
+    seq = F.col("r_regionkey").cast("long") * 50 + F.col("i")
+    payload = F.expr("substring(unit, i * 15360 + 1, 15360)")
+    records = units.select(
+        F.lit("regions").alias("capture_id"), (seq * 15384).alias("file_off"), F.lit(0).cast("byte").alias("rec_type"), F.lit(0x83).cast("short").alias("endpoint"), F.lit(0).alias("pkt_index"),
+        seq.alias("submit_seq"), F.lit(0).cast("long").alias("status"), F.lit(15360).cast("long").alias("req_len"), F.octet_length(payload).cast("long").alias("actual_len"), payload.alias("payload"),
+    )
+    # A source reads records in order; here they are put in order.
+    got = framing.video_units(records.orderBy("file_off"))
+    return got.select("ordinal", F.col("counter16").cast("long").alias("counter16"), "counter_extended", "kind", "transport", "byte_count", "start_off", "eligible")
+
+
 def queries() -> dict[str, Query]:
     return {"flagship": endpoint_stats} | {k: f for k, (f, _) in FOUND.items()}
 
