@@ -1,12 +1,13 @@
 """Line dedup by winnowing over line hashes (operator 2).
 
-A run of RUN or more consecutive lines (or one line of LONG_WORDS words or more) that
+A run of RUN or more consecutive lines (or of fewer that hold LONG_WORDS words or more) that
 stands earlier, in a document with a smaller id or further up in the same one, is deleted;
 its first occurrence stays. Blank lines are passed over, and go if they lie inside a run;
 other lines are compared without the white space about them.
 
 Fingerprints are the least line hash (the last of equal ones) of each window of RUN lines,
-so any two copies of a run select the same ones; a long line is one by itself. Fingerprints
+so any two copies of a run select the same ones; shorter runs of many words are windows
+of their own. Fingerprints
 that occur twice or more are joined by position. A match is extended both ways by whole
 windows: each fingerprint carries 128-bit digests of the windows that selected it; those
 that also start earlier are marked, and marked windows that touch make up the run. What is
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir
+from .common import checkpoint_dir, worker_cache
 
 RUN, LONG_WORDS = 3, 50
 
@@ -51,10 +52,12 @@ def fingerprints(text: str) -> Iterator[tuple[int, int, list[tuple[int, int, byt
     for i in range(len(solid) - RUN + 1):
         at = max(range(i, i + RUN), key=lambda j: (-hashes[j], j))
         held.setdefault(at, []).append((i, RUN, xxhash.xxh3_128_digest(b"".join(digests[i : i + RUN]))))
-    for i, x in enumerate(stripped):
-        # A word is two bytes at least with its space.
-        if len(x) >= 2 * LONG_WORDS - 1 and len(x.split()) >= LONG_WORDS:
-            held.setdefault(i, []).append((i, 1, digests[i]))
+    words = [len(x.split()) for x in stripped]
+    for n in range(1, RUN):
+        for i in range(len(solid) - n + 1):
+            if sum(words[i : i + n]) >= LONG_WORDS:
+                at = max(range(i, i + n), key=lambda j: (-hashes[j], j))
+                held.setdefault(at, []).append((i, n, xxhash.xxh3_128_digest(b"".join(digests[i : i + n]))))
     for at, windows in held.items():
         yield at, hashes[at], windows
 
@@ -63,6 +66,7 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("print", pa.in
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("line_dedup")
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
             part = batch.slice(a, 512)

@@ -122,9 +122,11 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 LINES_SQL = """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, line, trim(raw, ' ' || chr(9) || chr(13)) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos FROM l WHERE trim(raw, ' ' || chr(9) || chr(13)) <> ''),
+s AS (SELECT doc_id, line, trim(raw, ' ' || chr(9) || chr(13)) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos,
+  len(regexp_extract_all(trim(raw, ' ' || chr(9) || chr(13)), '\\S+')) AS nw FROM l WHERE trim(raw, ' ' || chr(9) || chr(13)) <> ''),
 w AS (SELECT doc_id, pos, line AS a, lead(line, 2) OVER o AS b, x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o AS k FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
-  UNION ALL SELECT doc_id, pos, line, line, '1' || chr(10) || x FROM s WHERE len(regexp_extract_all(x, '\\S+')) >= 50),
+  UNION ALL SELECT doc_id, pos, line, line, '1' || chr(10) || x FROM s WHERE nw >= 50
+  UNION ALL SELECT doc_id, pos, line, b, k FROM (SELECT *, nw + lead(nw) OVER o AS two, lead(line) OVER o AS b, '2' || chr(10) || x || chr(10) || lead(x) OVER o AS k FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE two >= 50),
 g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS n FROM w WHERE k IS NOT NULL),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line FROM g WHERE n > 1),
 m AS (SELECT l.doc_id, l.line, l.raw, gone.line IS NOT NULL AS cut, lag(gone.line IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.line) AS was FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line),

@@ -104,8 +104,10 @@ def cut_lines(rows):
         for p in range(len(solid)):
             if p + 3 <= len(solid):
                 found.append((i, p, 3, tuple(lines[k].strip() for k in solid[p : p + 3])))
-            if len(lines[solid[p]].split()) >= 50:
-                found.append((i, p, 1, (lines[solid[p]].strip(),)))
+            for n in (1, 2):
+                part = [lines[k].strip() for k in solid[p : p + n]]
+                if len(part) == n and len(" ".join(part).split()) >= 50:
+                    found.append((i, p, n, tuple(part)))
     first = {}
     for i, p, _, x in found:
         first[x] = min(first.get(x, (i, p)), (i, p))
@@ -118,7 +120,7 @@ def cut_lines(rows):
 
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(13)
-    lines = ["alpha", "beta ", "gamma", "delta", "", "  ", "epsilon", " ".join(["long"] * 55), "zeta"]
+    lines = ["alpha", "beta ", "gamma", "delta", "", "  ", "epsilon", " ".join(["long"] * 55), " ".join(["some"] * 30), "zeta", "one " * 22]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14)))) for i in range(80)] + [(90, None), (91, ""), (92, "alpha"), (93, "\n".join(["same"] * 4000))]
     df = spark.createDataFrame([(i, t, "x", len(t or "")) for i, t in rows], "doc_id long, text string, windows string, n_chars long").repartition(4)
     want = cut_lines(rows)
