@@ -263,7 +263,7 @@ class BpeCodec:
 
 
 def codec(path: str) -> BpeCodec:
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     if ("bpe", path) not in cache:
         cache[("bpe", path)] = BpeCodec(path)
     return cache[("bpe", path)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import io
 import sys
@@ -23,9 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, over all its tasks."""
-    return sys.modules.setdefault("_rastrum_worker_cache", types.ModuleType("_rastrum_worker_cache")).__dict__
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives on in the Python worker, over its tasks, until another operator's task comes.
+
+    What one operator has cached never adds to what the next one needs.
+    """
+    cache = sys.modules.setdefault("_rastrum_worker_cache", types.ModuleType("_rastrum_worker_cache"))
+    if getattr(cache, "owner", None) != owner:
+        cache.owner, cache.held = owner, {}
+    return cache.held
+
+
+def release_memory() -> None:
+    """Give back what a finished batch has freed: a worker that is kept for later tasks should be small between them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def sha256_hex(text: str) -> str:
@@ -53,6 +69,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., tuple], schema
                 rows = [fn(*values) for values in zip(*(part.column(i).to_pylist() for i in range(len(columns))), strict=True)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
+        release_memory()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -65,6 +82,7 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
     """
     from pyspark import TaskContext
 
+    worker_cache("chunks")
     held: list[pa.RecordBatch] = []
     size = n = 0
 
@@ -83,8 +101,11 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
             if size >= most:
                 yield named()
                 held, size, n = [], 0, n + 1
+                release_memory()
     if held:
         yield named()
+    held = []
+    release_memory()
 
 
 def packed(docs: DataFrame, most: int) -> DataFrame:

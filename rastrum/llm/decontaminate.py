@@ -92,7 +92,7 @@ def _blocks(items: list[tuple[str, str]], size: int, most: int):
 
 
 def _scanner(block: list[tuple[str, str]], size: int) -> Automaton:
-    cache, key = worker_cache(), ("automaton", size, hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest())
+    cache, key = worker_cache("automaton"), ("automaton", size, hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest())
     if cache.get("automaton_key") != key:
         cache["automaton_key"], cache["automaton"] = key, Automaton(block, size)
     return cache["automaton"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, worker_cache
+from .common import checkpoint_dir, release_memory, worker_cache
 
 RUN, LONG_WORDS = 3, 50
 
@@ -73,6 +73,7 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [(d, m, h, [dict(zip(("at", "lines", "digest"), w, strict=True)) for w in windows]) for d, m, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for _, h, windows in fingerprints(t)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+    release_memory()
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -114,6 +115,7 @@ def _cuts(columns: list[str], out: pa.Schema, report: bool):
                     arrays = [pa.array([d[0] for d in done], out.field(i).type) if c == "text" else pa.array([len(d[0]) if d[2] else n for d, n in zip(done, part.column(i).to_pylist(), strict=True)], out.field(i).type) if c == "n_chars" else part.column(i) for i, c in enumerate(columns)]
                     arrays.append(pa.array([bool(d[2]) and not d[0].strip() for d in done]))
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        release_memory()
 
     return run
 

@@ -18,13 +18,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import worker_cache
+from .common import release_memory, worker_cache
 
 CHUNK, OVERLAP = 32_768, 512
 
 
 def tokenizer(path: str):
-    cache = worker_cache()
+    cache = worker_cache("tokenizer")
     if ("tokenizer", path) not in cache:
         from tokenizers import Tokenizer
 
@@ -99,5 +99,6 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 1024, chunk: int =
                     [part.column(0).cast(pa.int64()), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts])],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
