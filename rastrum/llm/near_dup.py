@@ -16,8 +16,8 @@ Banded join. Documents with equal texts are one node first. Nodes that share a b
 ROWS coordinates meet: each band's smallest node leads it, followers are held against the
 leader by their exact sets, and the links make components. Nodes of bands that still
 hold several components meet once more by an exact prefix filter (prefix_keys): only sets
-that share a rare shingle early enough can be near copies. There the smallest nodes lead
-(64, 256, 1024, ... of them a round) against those of other components behind them whose
+that share a rare shingle early enough can be near copies. There the least altered nodes lead
+(32, 256, 2048, ... of them a round) against those of other components behind them whose
 places leave room for enough common shingles, until every pair of a key is linked, in one component, or known to be no near copy. So no link
 between nodes of a band is lost, and no group's pairs are all emitted.
 With 24 bands of 4 a pair of similarity 0.8 shares none with probability 3e-6.
@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, checkpoint_dir, mix64
+from .common import WORD_TABLE, checkpoint_dir, mix64, release_memory, worker_cache
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 SLICE_BYTES = 1_000_000
-#: Nodes of a key that lead in the first round; each later round has four times as many.
-FIRST_LEADS = 64
+#: Nodes of a key that lead in the first round; each later round has eight times as many.
+FIRST_LEADS = 32
 #: Ratio of the sizes that bound a size class.
 CLASS_RATIO = 1.05
 
@@ -160,6 +160,7 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, digest of the text, band keys (none without words)."""
+    worker_cache("near_dup")
     for batch in batches:
         texts, ids = _texts(batch.column(1)), batch.column(0).to_pylist()
         for a, b in _slices(texts):
@@ -175,16 +176,19 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["doc_id", "digest", "bands"],
             )
+    release_memory()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, size and content of the shingle set, sorted 64-bit hashes."""
+    worker_cache("near_dup")
     for batch in batches:
         texts, ids = _texts(batch.column(1)), batch.column(0)
         for a, b in _slices(texts):
             h, of = shingles(texts[a:b])
             parts = [np.unique(x) for x in np.split(h, np.cumsum(np.bincount(of, minlength=b - a))[:-1])]
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["node", "size", "set"])
+    release_memory()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,19 +293,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed, first, leads = None, 0, FIRST_LEADS
     while True:
         if placed is None:
-            # Keys that hold several components, their nodes in order.
+            # Keys that hold several components. Their nodes are ordered by how few rarer shingles they
+            # have: a text that others were made from comes before its altered copies, and links them all.
             now = held.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
             split = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
-            placed = now.join(split, "band").withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1).checkpoint()
+            placed = now.join(split, "band").withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(F.col("size") - F.col("rest"), "node")) - 1).checkpoint()
         rest = placed.where(F.col("n") > first + 1)
         if rest.isEmpty():
             return _classed(signed, classes)
         # The next leads meet those behind them.
         lead = side(rest, "a").where((F.col("pa") >= first) & (F.col("pa") < first + leads)).drop("n")
-        pairs = lead.join(side(rest, "b").drop("n"), "band").where((F.col("pb") > F.col("pa")) & (F.col("ca") != F.col("cb")) & room).select("a", "b").distinct()
-        more = links(pairs, sets).checkpoint()
-        first, leads = first + leads, leads * 4
-        if not more.isEmpty():
+        pairs = lead.join(side(rest, "b").drop("n"), "band").where((F.col("pb") > F.col("pa")) & (F.col("ca") != F.col("cb")) & room).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+        first, leads = first + leads, leads * 8
+        more = None if pairs.isEmpty() else links(pairs, sets).checkpoint()
+        if more is not None and not more.isEmpty():
             edges, placed = edges.union(more), None
             classes = components(edges)
 
