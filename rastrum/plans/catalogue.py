@@ -201,7 +201,23 @@ SELECT event_id, k16, target, CAST(split_part(min(CASE WHEN d <= 200 THEN lpad(C
   min(CASE WHEN d <= 200 THEN d END) AS distance FROM n GROUP BY event_id, k16, target""")
 def nearest_counter(spark, sf_dir):
     e = events(spark, sf_dir, "event_id")
-    keys = e.where("event_id % 7 = 0").select("event_id", (F.col("event_id") * 11 % 65536).alias("k16"), F.expr("event_id * 11 + 40 - event_id % 81").alias("target"))
+    return _nearest(e.where("event_id % 7 = 0"), e)
+
+
+@query("""
+WITH t AS (SELECT event_id, (event_id * 11) % 65536 AS k16, event_id * 11 + 40 - event_id % 81 AS target FROM events),
+c AS (SELECT event_id * 22 AS extended FROM events),
+n AS (SELECT t.event_id, t.k16, t.target, c.extended, abs(c.extended - t.target) AS d FROM t LEFT JOIN c ON c.extended % 65536 = t.k16)
+SELECT event_id, k16, target, CAST(split_part(min(CASE WHEN d <= 200 THEN lpad(CAST(d AS VARCHAR), 20, '0') || ':' || CAST(extended AS VARCHAR) END), ':', 2) AS BIGINT) AS nearest,
+  min(CASE WHEN d <= 200 THEN d END) AS distance FROM n GROUP BY event_id, k16, target""")
+def nearest_counter_every(spark, sf_dir):
+    """nearest_counter for every event."""
+    e = events(spark, sf_dir, "event_id")
+    return _nearest(e, e)
+
+
+def _nearest(asked, e):
+    keys = asked.select("event_id", (F.col("event_id") * 11 % 65536).alias("k16"), F.expr("event_id * 11 + 40 - event_id % 81").alias("target"))
     return joins.nearest(keys, e.select((F.col("event_id") * 22).alias("extended")), "k16", "extended", "target", 200)
 
 
@@ -456,7 +472,21 @@ l AS (SELECT DISTINCT (event_id * 101) % 65536 AS c FROM events WHERE event_type
 SELECT c1, c2, EXISTS (SELECT 1 FROM l WHERE (l.c - c1 + 65536) % 65536 > 0 AND (l.c - c1 + 65536) % 65536 < (c2 - c1 + 65536) % 65536) AS lost_between FROM p""")
 def lost_between(spark, sf_dir):
     e = events(spark, sf_dir, "event_id", "user_id", "event_type")
-    pairs = e.where("event_id % 3 = 0").select((F.col("event_id") * 37 % 65536).alias("c1"), ((F.col("event_id") * 37 + F.col("user_id")) % 65536).alias("c2")).distinct()
+    return _lost(e.where("event_id % 3 = 0"), e)
+
+
+@query("""
+WITH p AS (SELECT DISTINCT (event_id * 37) % 65536 AS c1, (event_id * 37 + user_id) % 65536 AS c2 FROM events),
+l AS (SELECT DISTINCT (event_id * 101) % 65536 AS c FROM events WHERE event_type = 'error')
+SELECT c1, c2, EXISTS (SELECT 1 FROM l WHERE (l.c - c1 + 65536) % 65536 > 0 AND (l.c - c1 + 65536) % 65536 < (c2 - c1 + 65536) % 65536) AS lost_between FROM p""")
+def lost_between_every(spark, sf_dir):
+    """lost_between for the pairs of every event."""
+    e = events(spark, sf_dir, "event_id", "user_id", "event_type")
+    return _lost(e, e)
+
+
+def _lost(asked, e):
+    pairs = asked.select((F.col("event_id") * 37 % 65536).alias("c1"), ((F.col("event_id") * 37 + F.col("user_id")) % 65536).alias("c2")).distinct()
     return joins.lost_between(pairs, e.where("event_type = 'error'").select((F.col("event_id") * 101 % 65536).alias("c16")), "c1", "c2", "c16")
 
 

@@ -1,0 +1,26 @@
+"""Queries that look up every event, against plain Python."""
+
+from pyspark.sql import functions as F
+
+from rastrum.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_event_is_looked_up(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "event_type").collect()
+    ids = [r.event_id for r in rows]
+    got = {r.event_id: (r.nearest, r.distance) for r in catalogue.queries()["nearest_counter_every"](spark, SF).collect()}
+    assert set(got) == set(ids)
+    for i in ids:
+        target = i * 11 + 40 - i % 81
+        near = [(abs(j * 22 - target), j * 22) for j in ids if (j * 22 - i * 11) % 65536 == 0 and abs(j * 22 - target) <= 200]
+        assert got[i] == ((min(near)[1], min(near)[0]) if near else (None, None))
+
+
+def test_the_pairs_of_every_event_are_tried(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", F.col("event_type").alias("kind")).collect()
+    lost = {r.event_id * 101 % 65536 for r in rows if r.kind == "error"}
+    pairs = {(r.event_id * 37 % 65536, (r.event_id * 37 + r.user_id) % 65536) for r in rows}
+    want = {(a, b): any(0 < (c - a) % 65536 < (b - a) % 65536 for c in lost) for a, b in pairs}
+    assert {(r.c1, r.c2): r.lost_between for r in catalogue.queries()["lost_between_every"](spark, SF).collect()} == want
