@@ -1,8 +1,9 @@
 """MinHash near-dedup with DartMinHash signatures (operator 4).
 
 Elements are shingles of SHINGLE consecutive lower-cased words (all words, in shorter
-texts); two documents are near copies if the Jaccard similarity of their shingle sets is
-THRESHOLD or more, and a class is a connected group of near copies.
+texts), each weighted by how often the text holds it; two documents are near copies if the
+weighted Jaccard similarity (sum of the lesser weights over sum of the greater) is THRESHOLD
+or more, and a class is a connected group of near copies.
 
 Signatures. Each element throws darts into its region of weight x rank, layer by layer
 (weights 0 to 1, 1 to 2, 2 to 4, ...): the darts of a layer are a Poisson process along
@@ -10,7 +11,8 @@ the rank, all drawn by hashing, so an element throws the same darts in every doc
 document looks at ranks up to a bound that gives it K (ln K + 2) darts on average, keeps
 those under its weight, deals them to K coordinates by their hash, and keeps the earliest
 of each; where one stays empty, the bound doubles. Cost: one hash an element and a few
-hundred darts a document.
+hundred darts a document. Exact comparisons number an element's occurrences: the similarity
+of two weighted sets is that of the plain sets of (shingle, occurrence).
 
 Banded join. Documents with equal texts are one node first. Nodes that share a band of
 ROWS coordinates meet: each band's smallest node leads it, followers are held against the
@@ -23,17 +25,20 @@ between nodes of a band is lost, and no group's pairs are all emitted.
 With 24 bands of 4 a pair of similarity 0.8 shares none with probability 3e-6.
 
 Null and empty texts, and texts without words, are copies of nothing; other equal texts are
-copies however short. Rows that share an id are one document; rows without one are left out.
+copies however short. Each row is a document of its own, whatever its id: rows that share an
+id are told apart by their texts, rows without an id take part like any other. A class is
+named by its smallest id, by null if none of its rows has one. Extra columns, whatever
+their names, are neither read nor changed.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +47,8 @@ from .common import WORD_TABLE, checkpoint_dir, mix64, release_memory, worker_ca
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 SLICE_BYTES = 1_000_000
+#: What a text with words holds.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Nodes of a key that lead in the first round; each later round has eight times as many.
 FIRST_LEADS = 32
 #: Ratio of the sizes that bound a size class.
@@ -158,35 +165,49 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             a, size = i + 1, 0
 
 
+def weighted(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct elements of each set, the set of each, and how often it holds it."""
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return h[new], of[new], np.diff(np.append(new, len(h))).astype(float)
+
+
+def numbered(h: np.ndarray) -> np.ndarray:
+    """The shingles of one text as a plain set, sorted: a shingle's second, third, ... occurrence is an element of its own."""
+    h = np.sort(h)
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    more = nth > 0
+    h[more] = mix64(h[more] + nth[more].astype(np.uint64) * _B)
+    return np.unique(h)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, digest of the text, band keys (none without words)."""
+    """doc_id, digest of the text (null without words), band keys."""
     worker_cache("near_dup")
     for batch in batches:
-        texts, ids = _texts(batch.column(1)), batch.column(0).to_pylist()
+        texts = _texts(batch.column(2))
         for a, b in _slices(texts):
             part = texts[a:b]
-            h, of = shingles(part)
-            n = np.bincount(of, minlength=len(part))
-            keys = band_keys(dart_signatures(h, of, len(part), BANDS * ROWS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[a:b], pa.int64()),
-                    pa.array([hashlib.blake2b(t if m else b"%d" % (i or 0), digest_size=16, person=b"text" if m else b"none").digest() for i, t, m in zip(ids[a:b], part, n.tolist(), strict=True)], pa.binary()),
-                    pa.array([k if m else [] for k, m in zip(keys.tolist(), n.tolist(), strict=True)], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "digest", "bands"],
-            )
+            h, of, weight = weighted(*shingles(part))
+            some = pa.array(np.bincount(of, minlength=len(part)) > 0)
+            keys = band_keys(dart_signatures(h, of, len(part), BANDS * ROWS, weight)).astype(np.int64)
+            digest = pc.if_else(some, batch.column(1).slice(a, b - a), pa.scalar(None, pa.binary()))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), digest, bands], names=["doc_id", "digest", "bands"])
     release_memory()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, size and content of the shingle set, sorted 64-bit hashes."""
+    """node, size and content of the set of numbered shingles, sorted 64-bit hashes."""
     worker_cache("near_dup")
     for batch in batches:
         texts, ids = _texts(batch.column(1)), batch.column(0)
         for a, b in _slices(texts):
             h, of = shingles(texts[a:b])
-            parts = [np.unique(x) for x in np.split(h, np.cumsum(np.bincount(of, minlength=b - a))[:-1])]
+            parts = [numbered(x) for x in np.split(h, np.cumsum(np.bincount(of, minlength=b - a))[:-1])]
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["node", "size", "set"])
     release_memory()
 
@@ -252,7 +273,8 @@ def prefix_keys(sets: DataFrame) -> DataFrame:
     are all their own emit nothing that others hold: they have no near copy, without a comparison.
     """
     rows = sets.mapInArrow(_shingles_of, "node long, size long, shingle long")
-    shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
+    # Counted by partial sums; the join that follows may split a shingle that very many sets hold.
+    shared = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "shingle")
     mine = Window.partitionBy("node")
     # Shingles that no other set holds come first; they are counted, not kept.
     placed = shared.withColumn("place", F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "shingle")) - 1)
@@ -266,18 +288,38 @@ def prefix_keys(sets: DataFrame) -> DataFrame:
     return spread.select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("band"), "node", "size", (F.col("size") - F.col("place")).alias("rest"))
 
 
+def _digested(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("digest"), "text")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class): one row for each id of docs."""
+    """doc_id, class_id (the smallest id of its class): one row for each row of docs."""
+    signed, nodes, classes = _classes(docs)
+    named = _members(nodes, classes)
+    names = named.groupBy("class").agg(F.min("low").alias("class_id"))
+    by_text = named.join(names, "class").select("digest", "class_id")
+    return signed.where("digest IS NOT NULL").join(by_text, "digest").select("doc_id", "class_id").unionByName(signed.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def _members(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """digest, low, class of every node, alone or not."""
+    return nodes.join(classes, "node", "left").select("digest", "low", F.coalesce("class", "node").alias("class"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, digest), nodes (node, digest, low: smallest id) for each text with words, and the classes of nodes with an edge."""
     checkpoint_dir(docs.sparkSession)
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _digested(docs)
     signed = docs.mapInArrow(_signed, "doc_id long, digest binary, bands array<long>").checkpoint()
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    # Numbers that only this table gives out: read from its files ever after.
+    nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     banded = nodes.select("node", F.explode("bands").alias("band"))
     crowds = banded.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("most")).where("lead < most").select("band", "lead")
     # All that is left below are bands with two nodes or more.
     held = banded.join(crowds, "band").select("band", "node", "lead").checkpoint()
-    wanted = held.select("node").distinct()
-    sets = docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(_sets, "node long, size long, set binary").dropDuplicates(["node"]).checkpoint()
+    wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("__digest"), "low")
+    texts = docs.join(wanted, (docs["digest"] == wanted["__digest"]) & docs["doc_id"].eqNullSafe(wanted["low"])).select("node", "text")
+    sets = texts.mapInArrow(_sets, "node long, size long, set binary").dropDuplicates(["node"]).checkpoint()
     tried = held.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     edges = links(able(tried, sets), sets).checkpoint()
     classes = components(edges)
@@ -300,7 +342,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             placed = now.join(split, "band").withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(F.col("size") - F.col("rest"), "node")) - 1).checkpoint()
         rest = placed.where(F.col("n") > first + 1)
         if rest.isEmpty():
-            return _classed(signed, classes)
+            return signed.select("doc_id", "digest"), nodes.select("node", "digest", "low"), classes
         # The next leads meet those behind them.
         lead = side(rest, "a").where((F.col("pa") >= first) & (F.col("pa") < first + leads)).drop("n")
         pairs = lead.join(side(rest, "b").drop("n"), "band").where((F.col("pb") > F.col("pa")) & (F.col("ca") != F.col("cb")) & room).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
@@ -311,14 +353,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             classes = components(edges)
 
 
-def _classed(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    by_text = nodes.join(classes, "node", "left").select("digest", F.coalesce("class", "node").alias("class_id"))
-    # An id whose rows have several texts takes the smallest class of any.
-    return signed.select("doc_id", "digest").join(by_text, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each class: that with its smallest id; of rows that share it, one. Columns as they are."""
-    keep = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class: that with its smallest id (rows without one last), of several texts under it the one with the least digest,
+    of equal rows one; rows without words all stay. Columns as they are."""
+    _, nodes, classes = _classes(docs)
+    best = _members(nodes, classes).groupBy("class").agg(F.min(F.struct(F.col("low").isNull(), F.col("low"), F.col("digest"))).alias("best"))
+    keep = best.select(F.col("best.digest").alias("__keep_digest"), F.col("best.low").alias("__keep_low"))
+    own = F.unhex(F.md5(docs["text"]))
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    some = F.coalesce(docs["text"], F.lit("")).rlike(WORD)
+    stay = docs.where(some).join(keep, (own == keep["__keep_digest"]) & docs["doc_id"].cast("long").eqNullSafe(keep["__keep_low"])).select(*columns, "__keep_digest")
+    return stay.dropDuplicates(["__keep_digest"]).drop("__keep_digest").union(docs.where(~some))

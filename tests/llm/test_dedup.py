@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -46,29 +47,34 @@ def test_suffix_order_is_the_order_of_all_suffixes():
 
 
 def near_classes(rows, words):
-    sets = {}
-    for i, t in rows:
+    """The class of each row: its smallest id."""
+    sets = []
+    for _, t in rows:
         w = words(t)
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    parent = {i: i for i in sets}
+        sets.append(collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None)
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and (sets[a] & sets[b]).total() * 5 >= (sets[a] | sets[b]).total() * 4:
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min((x for x in (least.get(find(k)), i) if x is not None), default=None)
+    return [least[find(k)] for k in range(len(rows))]
+
+
+plain_words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+by_row = lambda rows: sorted(rows, key=str)
 
 
 def test_near_duplicates_equal_brute_force(spark):
     rng, vocabulary = random.Random(11), [f"w{i}" for i in range(400)]
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
     base = [[rng.choice(vocabulary) for _ in range(rng.randrange(20, 120))] for _ in range(12)]
     rows = []
     for i in range(220):
@@ -76,14 +82,30 @@ def test_near_duplicates_equal_brute_force(spark):
         for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5, 9])):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         rows.append((i, " ".join(w)))
-    rows += [(300, None), (301, ""), (302, "!!"), (303, "!!"), (304, "one two"), (305, "One, two"), (306, "one two three"), (307, "w1 " * 3000), (308, "W1 " * 2000), (None, rows[0][1])]
-    df = spark.createDataFrame(rows, DDL).repartition(5).withColumn("class_id", F.lit("clash"))
-    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()}
-    want = near_classes([r for r in rows if r[0] is not None], words)
-    assert got == want
+    rows += [(300, None), (301, ""), (302, "!!"), (303, "!!"), (304, "one two"), (305, "One, two"), (306, "one two three"), (None, rows[0][1])]
+    # Weights tell texts of one shingle apart: 2996 and 1996 of it are no near copies, 2996 and 2496 are.
+    rows += [(307, "w1 " * 3000), (308, "W1 " * 2000), (309, "w1 " * 2500)]
+    df = spark.createDataFrame(rows, DDL).repartition(5).withColumn("class_id", F.lit("clash")).withColumn("digest", F.lit("clash"))
+    want = near_classes(rows, plain_words)
+    assert by_row((r.doc_id, r.class_id) for r in near_dup.near_duplicates(df).collect()) == by_row((i, c) for (i, _), c in zip(rows, want, strict=True))
     kept = near_dup.deduplicated(df.union(df.where("doc_id = 3")))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in want.items() if i == c) and kept.columns == df.columns
-    assert near_dup.near_duplicates(df.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for (i, _), c in zip(rows, want, strict=True) if i is not None and i == c) and kept.columns == df.columns
+    assert near_dup.near_duplicates(df.limit(0)).count() == 0 and near_dup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_without_unique_ids(spark):
+    """Null ids, an id with two texts, repeated rows: the same result in any order and partitioning."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    a2, c2 = a + " more", c + " more"
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a2), (None, a), (None, c), (None, c2), (1, a), (None, None), (None, None), (4, "?"), (4, "?")]
+    want = near_classes(rows, plain_words)
+    assert want == [1, 1, 1, 1, 1, None, None, 1, None, None, 4, 4]
+    stay = by_row([(1, a), (1, b), (None, None), (None, None), (4, "?"), (4, "?")])
+    for order, parts in ((rows, 1), (rows[::-1], 5)):
+        df = spark.createDataFrame(order, DDL).repartition(parts)
+        assert by_row((r.doc_id, r.class_id) for r in near_dup.near_duplicates(df).collect()) == by_row((i, x) for (i, _), x in zip(rows, want, strict=True))
+        got = by_row(tuple(r) for r in near_dup.deduplicated(df).collect())
+        assert [r for r in got if r[1] not in (c, c2)] == stay and len(got) == len(stay) + 1
 
 
 def test_dart_signatures_estimate_weighted_similarity():

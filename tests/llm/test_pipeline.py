@@ -136,8 +136,8 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     texts = {i: t for i, t, _ in rows if keep[i]}
     after = cut_lines(sorted(texts.items()))
     texts = {i: t for i, t in after.items() if t == texts[i] or t.strip()}
-    classes = near_classes(sorted(texts.items()), words)
-    texts = {i: t for i, t in texts.items() if classes[i] == i}
+    rows = sorted(texts.items())
+    texts = {i: t for (i, t), c in zip(rows, near_classes(rows, words), strict=True) if i == c}
     texts = {i: t for i, t in texts.items() if not contaminated(t, items)[4]}
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = {}
