@@ -7,30 +7,41 @@ rising rank, each ending where a token that the one before produced may begin;
 `sufficient_lookahead` is the longest such chain. Within a word the transducer keeps a
 buffer, merges it, emits the tokens that end L or more symbols before its end, and
 carries the rest on: a token boundary that is final splits the word into independent
-parts. Its memory is one chunk and L symbols, however long a word is.
+parts. Its memory is one chunk and L symbols, however long a word is. A text comes in
+segments, cut at single spaces that no word lies across; every word goes through the
+transducer, and the final tokens of short words are remembered.
 
 Decoding. Tokens become bytes and bytes become text through a UTF-8 state machine that
 holds at most three bytes (byte-level decoders), or tokens are joined by one space,
-which is what a tokenizer file without a decoder means.
+which is what a tokenizer file without a decoder means. A document's tokens go segment by
+segment into the digest of its ids and through the decoder into that of its text, so that
+neither the ids nor the decoded text of a document are ever whole in memory.
 
-Nulls are encoded as empty texts; an empty text has no tokens and decodes to "".
+Nulls are encoded as empty texts; an empty text has no tokens and decodes to "". Each row is
+encoded by itself: null and repeated ids and repeated rows stay as they are; extra columns,
+whatever their names, are left out; no documents give no rows.
 """
 
 from __future__ import annotations
 
 import codecs
+import hashlib
+import itertools
 import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, sha256_hex, worker_cache
+from .common import map_rows, worker_cache
 
-#: Words up to this many symbols are merged at once; longer ones in chunks.
+#: Symbols that the transducer takes in at a time, beside its lookahead.
 CHUNK = 4096
+#: Characters of a segment, up to the next place to cut.
+SEGMENT = 65_536
+#: Neither a word, nor a special token, nor a composed character lies across the place before this space.
+CUT = re.compile(r"(?<=[!-~])\x20(?=[!-~])")
 #: Words kept with their tokens; the older half goes when it is full.
 CACHED_WORDS = 800_000
 
@@ -105,7 +116,14 @@ class BpeCodec:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError(f"{path}: such added tokens aren't supported")
-        self.names = {i: t for t, i in (self.vocab | self.specials).items()}
+        every = self.vocab | self.specials
+        if any(" " in t for t in self.specials):
+            raise ValueError(f"{path}: special tokens with a space aren't supported")
+        self.names = [""] * (1 + max(every.values()))
+        for t, i in every.items():
+            self.names[i] = t
+        self.digits = [str(i) for i in range(len(self.names))]
+        self.number = list(range(len(self.names)))  # one object for each id
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         if spec.get("decoder") and not self.byte_level:
             raise ValueError(f"{path}: unknown decoder")
@@ -114,6 +132,9 @@ class BpeCodec:
         self.symbol = [self.vocab.get(s, -1) for s in symbols]
         self.last = [self.vocab.get(s + self.suffix, -1) for s in symbols]
         self.byte_of = {s: b for b, s in enumerate(symbols)}
+        if self.byte_level:
+            special = set(self.specials.values())
+            self.bytes_of = [t.encode() if i in special else bytes(self.byte_of[c] for c in t) for i, t in enumerate(self.names)]
         self.length = {i: len(t.removesuffix(self.suffix) if self.suffix else t) for t, i in self.vocab.items()}
         import regex
 
@@ -131,8 +152,8 @@ class BpeCodec:
         self.words = pattern(r"\p{L}", r"\p{N}", r"[^\p{White_Space}\p{L}\p{N}]")
         self.words_newer = pattern(rf"[\p{{L}}--{unknown}]", rf"[\p{{N}}--{unknown}]", rf"[[^\p{{White_Space}}\p{{L}}\p{{N}}]||{unknown}]")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def split(self, text: str) -> list[str]:
         """The words of a text, normalised if the file says so."""
@@ -190,76 +211,103 @@ class BpeCodec:
         """Tokens of one word that comes in pieces, each emitted once no later byte can change it."""
         held: list[int] = []
         pending: int | None = None  # the last byte, which may carry the end-of-word mark
+        symbol, number = self.symbol, self.number
         for piece in data:
-            for b in piece:
+            for a in range(0, len(piece), CHUNK):
+                part = piece[a : a + CHUNK]
                 if pending is not None:
-                    held.append(self.symbol[pending])
-                pending = b
+                    held.append(symbol[pending])
+                held += [symbol[b] for b in part[:-1]]
+                pending = part[-1]
                 if len(held) >= CHUNK + self.lookahead:
-                    tokens, at = self.merge(held[:]), 0
-                    for token in tokens:
+                    at = 0
+                    for token in self.merge(held[:]):
                         if at + self.length[token] > len(held) - self.lookahead:
                             break
                         at += self.length[token]
-                        yield token
+                        yield number[token]
                     held = held[at:]
         if pending is not None:
-            yield from self.merge([*held, self.last[pending]])
-
-    def word(self, word: str) -> tuple[int, str, str]:
-        """A word's number of tokens, their ids as text, their names joined by a space."""
-        data = word.encode("utf-8", "surrogatepass")
-        if len(data) > CHUNK:
-            ids = list(self.transduce([data]))
-        else:
-            ids = self.merge([*(self.symbol[b] for b in data[:-1]), self.last[data[-1]]])
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
-
-    def _missing(self, word: str) -> tuple[int, str, str]:
-        got = self.old.get(word) or self.word(word)
-        if len(word) <= 64:
-            if len(self.young) >= CACHED_WORDS // 2:
-                self.old, self.young = self.young, {}
-            self.young[word] = got
+            held.append(self.last[pending])
+            yield from map(number.__getitem__, self.merge(held))
+
+    def _new_word(self, word: str) -> Iterable[int]:
+        """Tokens of a word that isn't among the young ones; short words are remembered."""
+        if len(word) > 64:
+            return self.transduce([word.encode("utf-8", "surrogatepass")])
+        got = self.old.get(word) or tuple(self.transduce([word.encode("utf-8", "surrogatepass")]))
+        if len(self.young) >= CACHED_WORDS // 2:
+            self.old, self.young = self.young, {}
+        self.young[word] = got
         return got
 
-    def pieces(self, text: str) -> list[tuple[int, str, str]]:
-        """What `word` gives for each word and special token, in order."""
-        found: list[tuple[int, str, str]] = []
-        for k, part in enumerate(self.special.split(text) if self.special else [text]):
-            if k % 2:
-                found.append((1, str(self.specials[part]), part))
-            elif part:
-                get, missing = self.young.get, self._missing
-                found += [get(w) or missing(w) for w in self.split(part)]
-                # `get` is read anew for each part, as a full cache is replaced.
-        return found
+    def segments(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > SEGMENT and (cut := CUT.search(text, at + SEGMENT)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def encode_stream(self, text: str) -> Iterator[list[int]]:
+        """Tokens of a text, some thousands at a time."""
+        ids: list[int] = []
+        for segment in self.segments(text):
+            for k, part in enumerate(self.special.split(segment) if self.special else [segment]):
+                if k % 2:
+                    ids.append(self.specials[part])
+                    continue
+                get = self.young.get
+                for word in self.split(part) if part else ():
+                    got = get(word)
+                    if got is None:
+                        got = self._new_word(word)
+                        get = self.young.get
+                        if len(word) > CHUNK:
+                            # Tokens of a very long word are handed on as they come.
+                            for some in itertools.batched(got, CHUNK):
+                                ids += some
+                                yield ids
+                                ids = []
+                            continue
+                    ids += got
+            yield ids
+            ids = []
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split()]
-
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text piece by piece; special tokens are kept."""
-        if not self.byte_level:
-            for k, i in enumerate(ids):
-                yield (" " if k else "") + self.names[i]
+        return [i for ids in self.encode_stream(text) for i in ids]
+
+    def decode_stream(self, parts: Iterable[Iterable[int]]) -> Iterator[str]:
+        """Text of tokens that come in parts, as far as each part settles it; special tokens are kept."""
+        if self.byte_level:
+            machine = codecs.getincrementaldecoder("utf-8")("replace")
+            for ids in parts:
+                yield machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+            yield machine.decode(b"", final=True)
             return
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        special = set(self.specials.values())
-        for i in ids:
-            name = self.names[i]
-            yield machine.decode(name.encode() if i in special else bytes(map(self.byte_of.__getitem__, name)))
-        yield machine.decode(b"", final=True)
+        before = ""
+        for ids in parts:
+            if ids:
+                yield before + " ".join(map(self.names.__getitem__, ids))
+                before = " "
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream(ids))
+        return "".join(self.decode_stream([ids]))
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids, SHA-256 of the decoded text."""
-        parts = self.pieces(text or "")
-        ids = " ".join(map(itemgetter(1), parts))
-        decoded = " ".join(map(itemgetter(2), parts)) if not self.byte_level else self.decode(map(int, ids.split()))
-        return sum(map(itemgetter(0), parts)), sha256_hex(ids), sha256_hex(decoded)
+        """Number of tokens, SHA-256 of the ids, SHA-256 of the text that the ids decode to."""
+        of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
+
+        def told() -> Iterator[list[int]]:
+            nonlocal n
+            for ids in self.encode_stream(text or ""):
+                if ids:
+                    of_ids.update(((" " if n else "") + " ".join(map(self.digits.__getitem__, ids))).encode())
+                    n += len(ids)
+                    yield ids
+
+        for piece in self.decode_stream(told()):
+            of_text.update(piece.encode("utf-8", "surrogatepass"))
+        return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def codec(path: str) -> BpeCodec:

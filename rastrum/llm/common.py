@@ -44,11 +44,6 @@ def release_memory() -> None:
         pass
 
 
-def sha256_hex(text: str) -> str:
-    # Lone surrogates can't occur in Spark strings; surrogatepass only guards direct calls.
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The lower-cased words of a text as UTF-8 bytes; none for null."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()

@@ -39,6 +39,27 @@ def test_transducer_emits_only_what_stays(path, monkeypatch):
         monkeypatch.undo()
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_digests_of_streams_are_those_of_whole_texts(path, monkeypatch):
+    """Short segments, chunks and few remembered words: ids and text are still the library's, and both came through the streams."""
+    codec, theirs, rng = bpe.BpeCodec(path), Tokenizer.from_file(path), random.Random(15)
+    monkeypatch.setattr(bpe, "SEGMENT", 20)
+    monkeypatch.setattr(bpe, "CHUNK", 8)
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 10)
+    words = ["the", "ing ", "é ", " ", "\n", "<|endoftext|>", "日本", "x" * 90, "Σ", "it's ", "1 2", "e\u0301 ", " \u0301", "\U0001f600"]
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(40)))
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert codec.digest(text) == (len(ids), sha(" ".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False)))
+        parts = [ids[i : i + 3] for i in range(0, len(ids), 3)]
+        assert "".join(codec.decode_stream(parts)) == theirs.decode(ids, skip_special_tokens=False)
+    calls = []
+    real = codec.transduce
+    monkeypatch.setattr(codec, "transduce", lambda data: calls.append(1) or real(data))
+    codec.digest("brandnewword")
+    assert calls
+
+
 def test_newer_and_older_characters_agree_with_the_library():
     mine, theirs = bpe.BpeCodec(WORD), Tokenizer.from_file(WORD)
     points = [*range(1, 0x3000), *range(0xA000, 0xD800), *range(0xE000, 0x11000), *range(0x1E000, 0x1F000)]
