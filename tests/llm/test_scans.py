@@ -68,13 +68,104 @@ def test_secrets_equal_brute_force(spark):
         assert set(filter(None, text.split(","))) <= set(filter(None, r.spans.split(",")))
 
 
-def test_assignments_carry_constants_to_sensitive_names():
-    found = lambda t: [t[a:b] for k, a, b in secrets.scan(t)[1] if k == "literal"]
-    assert found('x = "tR8!kq02ZpLm"\ndb_password = x') == ["tR8!kq02ZpLm"]
-    assert found("aws:\n  private_key: Zk39xQ7pLw2m\n") == ["Zk39xQ7pLw2m"]
-    assert found('const authToken = "Ab3dEf" + "9hIjKl2m";')
-    assert found('colour = "Zk39xQ7pLw2m"') == []
-    assert found('password = "changeme"') == found("The password: please") == []
+found = lambda t: [t[a:b] for k, a, b in secrets.scan(t)[1] if k == "literal"]
+L, M = "Zk39xQ7pLw2m", "tR8!kq02ZpLm"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f'x = "{M}"\ndb_password = x', [M]),
+        (f"aws:\n  private_key: {L}\n", [L]),
+        ('const authToken = "Ab3dEf" + "9hIjKl2m";', ["Ab3dEf", "9hIjKl2m"]),
+        (f'colour = "{L}"', []),
+        ('password = "changeme"', []),
+        ("The password: please", []),
+        ("password = password", []),
+        ('password = "Correct horse 42 Battery"', ["Correct horse 42 Battery"]),
+        (f'password = x\nx = "{L}"', [L]),  # bound further down
+        (f'a = "{L}"\nb = a\nc = b\nsecret_c = c', [L]),
+        (f'base = "{L}"\npassword = base + "{M}"', [L, M]),
+        (f'password = decode("{L}")', [L]),
+        (f'connect(host, password="{L}")', [L]),
+        (f'client.set("password", "{L}")', [L]),
+        (f'os.environ["DB_PASSWORD"] = "{L}"', [L]),
+        (f'password: str = "{L}"', [L]),
+        (f'var password string = "{L}"', [L]),
+        (f'password = """{L}"""', [L]),
+        ("password_" + "a" * 80 + f' = "{L}"', [L]),
+        (f'def f():\n    x = "{L}"\n    return x\n\ndef g():\n    password = x\n', []),  # scopes
+        (f'def f():\n    x = "{L}"\n    password = x\n', [L]),
+        (f'x = "{L}"\ndef g():\n    password = x\n', [L]),
+        (f'function f() {{ var x = "{L}"; }}\nfunction g() {{ var password = x; }}', []),
+        (f'function f() {{ var x = "{L}"; var password = x; }}', [L]),
+        (f'self.k = "{L}"\nclass A:\n  def g(self):\n    token = self.k', [L]),
+        (f's = "password = {L}"', []),  # a string is no code
+        (f'# password = "{L}"', [L]),
+        (f"don't say the password: it isn't '{L}'", []),
+        (f'if password == "{L}": pass', []),
+        (f'{{"user": "bob", "api_key": "{L}"}}', [L]),
+        (f"export API_TOKEN={L}\n", [L]),
+        (f"PW={L}\nDB_PASSWORD=${{PW}}\n", [L]),
+        (f"[db]\npassword = {L} ; comment", [L]),
+        (f"<config><password>{L}</password></config>", [L]),
+        (f'<add key="db_password" value="{L}"/>', [L]),
+        (f"private_key: |\n  {L}{L}\n  {M}abc\nother: 1", [f"{L}{L}\n  {M}abc"]),
+        (f"default: &pw {L}\npassword: *pw\n", [L]),
+        (f"db = postgres://bob:{L}@host/db", [L]),
+        (f'db = "postgres://bob:{L}@host/db"', [L]),
+    ],
+)
+def test_lexing_and_propagation(text, want):
+    assert found(text) == want
+
+
+def test_literals_of_generated_files():
+    """Sources and configurations with planted literals: exactly those that a sensitive name reaches are found."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    literal = lambda: "".join(rng.choice(letters) for _ in range(5)) + "Q7" + "".join(rng.choice(letters + "XYZ0189") for _ in range(9))
+    word = lambda: "".join(rng.choice(letters) for _ in range(7))
+    sensitive = lambda: rng.choice(["db_password", "apiKey", "auth_token", "clientSecret", "PASSWD"])
+    for _ in range(200):
+        names = [sensitive() + str(k) if rng.random() < 0.4 else word() + str(k) for k in range(8)]
+        values = [literal() for _ in names]
+        want = {v for n, v in zip(names, values, strict=True) if secrets.name_score(n)}
+        plain = [k for k, n in enumerate(names) if not secrets.name_score(n)]
+        lines = {
+            "env": lambda n, v: f"{n}={v}",
+            "yaml": lambda n, v: f"{n}: {rng.choice([v, repr(v)])}",
+            "json": lambda n, v: f'  "{n}": "{v}",',
+            "xml": lambda n, v: rng.choice([f"<{n}>{v}</{n}>", f'<add key="{n}" value="{v}"/>']),
+            "python": lambda n, v: rng.choice([f'{n} = "{v}"', f"{n}: str = '{v}'", f'{n} = strip("{v}")']),
+            "js": lambda n, v: rng.choice([f'const {n} = "{v}";', f"let {n} = `{v}`;"]),
+        }
+        kind = rng.choice(list(lines))
+        body = [lines[kind](n, v) for n, v in zip(names, values, strict=True)]
+        if kind in ("python", "js") and plain:
+            # A constant that a sensitive name is bound to, through one more name, before or after it is bound itself.
+            k = rng.choice(plain)
+            body[rng.randrange(len(body)) : 0] = [f"step_{k} = {names[k]}", f"my_secret = step_{k}"]
+            want.add(values[k])
+        text = "\n".join(body)
+        assert set(found(text)) == want, text
+
+
+def test_secrets_of_odd_tables(spark):
+    rows = [(1, f'token = "{L}"', "x"), (1, f'token = "{L}"', "x"), (None, f'token = "{L}"', "y"), (2, None, None), (2, "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("n_hex", F.lit("clash"))
+    got = secrets.find_secrets(df).collect()
+    assert sorted((str(r.doc_id), r.n_assign, r.n_literal) for r in got) == [("1", 1, 1), ("1", 1, 1), ("2", 0, 0), ("2", 0, 0), ("None", 1, 1)]
+    assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", ["password=(x=(", 'f("a",', "password:", "password=a+", "x=f(", "password{", "'", "a:", "://a:", "'" * 3, "/*"])
+def test_lexing_takes_time_in_proportion(part):
+    import time
+
+    began = time.perf_counter()
+    secrets.scan(part * 20_000 + " password")
+    assert time.perf_counter() - began < 5
 
 
 def test_url_rules_and_reputation(spark):
