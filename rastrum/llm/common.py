@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z; bytes outside words (``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lowering) to a space.
 WORD_TABLE = bytes(
@@ -73,7 +74,7 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
     """Rows in pieces of about `most` characters of text (the last column), each with a name.
 
     The name comes from the partition and the content, so that reading the same rows again gives the same
-    names. Whoever joins by it must raise if an answer is missing, as rows could come in another order.
+    names; the rows must come from steady(), so that they do. Whoever joins by a name raises if its answer is missing.
     """
     from pyspark import TaskContext
 
@@ -103,6 +104,29 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
     release_memory()
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """The same rows, in an order that stays when they are read again: files and tables do that, what comes out of
+    a shuffle needn't (after a lost executor), and is written to the shared folder first."""
+    steady_nodes = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation"}
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in steady_nodes:
+            checkpoint_dir(df.sparkSession)
+            return df.checkpoint()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return df
+
+
+#: Rows of narrow columns that may be broadcast, in some MB.
+SMALL_ROWS = 50_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A table of narrow rows to be joined: broadcast if it has few rows, left to a shuffle if not. It is counted, so it should be cheap to read."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def packed(docs: DataFrame, most: int) -> DataFrame:
     """chunk, docs: the chunks of rows, each compressed into one value that unpacked() reads."""
 

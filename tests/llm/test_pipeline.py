@@ -99,18 +99,20 @@ def classified(spark):
     for i, t, x in rows:
         bits[i] = models[x].bits(t) if x in models and size[i] else None
     at = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    scored = [i for i in held if bits.get(i) is not None]
+    share, median = {}, {}
+    for lang in models:
+        mine = [bits[i] for i in scored if lang_of[i] == lang]
+        share[lang] = min(1, len(mine) / quality.LEAST_HELD)
+        every = at([bits[i] for i in scored], 0.5)
+        median[lang] = share[lang] * (at(mine, 0.5) if mine else every) + (1 - share[lang]) * every
+    strain = lambda i: (bits[i] - median[lang_of[i]]) / math.sqrt(1 / (size[i] + quality.SHORT) + 1 / quality.SCALE)
     keep = {}
-    for lang in set(lang_of.values()):
-        mine = [bits[i] for i in held if lang_of.get(i) == lang and bits[i] is not None]
-        for i in lang_of:
-            if lang_of[i] != lang:
-                continue
-            keep[i] = True
-            if len(mine) >= quality.LEAST_HELD and bits[i] is not None:
-                m = at(mine, 0.5)
-                strain = lambda j: (bits[j] - m) * math.sqrt(min(size[j], quality.LENGTH_CAP) + quality.SHORT)  # noqa: E731, B023
-                s = [strain(j) for j in held if lang_of.get(j) == lang and bits[j] is not None]
-                keep[i] = strain(i) <= at(s, 0.5) + quality.SPREAD * (at(s, 0.95) - at(s, 0.5)) + 1e-6
+    for i, lang in lang_of.items():
+        keep[i] = True
+        if bits[i] is not None:
+            every, mine = at([strain(j) for j in scored], quality.QUANTILE), [strain(j) for j in scored if lang_of[j] == lang]
+            keep[i] = strain(i) <= share[lang] * (at(mine, quality.QUANTILE) if mine else every) + (1 - share[lang]) * every + 1e-6
     return bits, keep
 
 
@@ -121,7 +123,29 @@ def test_classifier_equals_brute_force(spark, sf_dir):
     for i, r in got.items():
         assert (r.bits is None) == (bits[i] is None) and (r.bits is None or abs(r.bits - bits[i]) < 1e-4), i
         assert r.keep == keep[i], i
-    assert not any(keep[i] for i in range(240, 270)) and sum(keep[i] for i in range(240)) >= 236
+    assert not any(keep[i] for i in range(240, 270)) and sum(keep[i] for i in range(240)) >= 232
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    texts = ["ab" * 700, "", "the end of it", "x" * 999]
+    whole = quality.Grams(texts)
+    monkeypatch.setattr(quality, "SLICE_CHARS", 100)
+    pieces = quality.Grams(texts)
+    assert whole.names.tolist() == pieces.names.tolist() and whole.counts().tolist() == pieces.counts().tolist()
+    places = lambda g: {i: sum(int(e - s) for at, _, ends in g.slices for j, s, e in zip(at, [0, *ends[:-1]], ends, strict=True) if j == i) for i in range(4)}
+    assert places(whole) == places(pieces) and len(pieces.slices) > 10
+
+
+def test_classifier_of_rows_with_clashing_names_and_ids(spark, sf_dir):
+    """Null and repeated ids, repeated rows, rows in an order that a shuffle gives, columns named like the result's."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    more = docs.unionByName(docs.where("doc_id IN (8, 250)")).unionByName(docs.where("doc_id IN (9, 251)").withColumn("doc_id", F.lit(None).cast("long")))
+    plain = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    got = quality.classify(more.withColumn("bits", F.lit("x")).withColumn("limit", F.lit(1)).repartition(7), labels).collect()
+    assert len(got) == len(plain) + 4
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(r.keep for r in got if r.doc_id is None) == sorted(plain[i].keep for i in (9, 251)) and text[9]
+    assert all(r.keep == plain[r.doc_id].keep for r in got if r.doc_id is not None)
 
 
 def test_classifier_of_nothing(spark, sf_dir):
