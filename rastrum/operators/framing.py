@@ -221,6 +221,43 @@ def audio_records(packets: DataFrame, at: DataFrame, block: int = 64 << 20) -> d
 # --- the machine -------------------------------------------------------------------------------------
 
 
+#: Rules by which a marker is weighed: the first whose words all hold ("-": doesn't hold) gives the verdict.
+BEGINS = (
+    ("payload", "-plausible"),
+    ("begins", "-running"),
+    ("begins", "next"),
+    ("begins", "two units"),
+    # After a run without picture the audio's counter can vouch for a marker, if padding follows it.
+    ("wait", "-picture run", "vouched", "-looked"),
+    ("begins unheard", "-picture run", "vouched", "padded"),
+    ("stale", "unit long"),
+    # No signal inside a picture's run: what comes next tells whether the picture is lost.
+    ("hold", "picture run", "blank", "vouched run", "-pending"),
+    ("payload",),
+)
+#: Whether a run that ends without its successor keeps its counter.
+ENDS = (
+    ("doubtful", "-vouched run"),
+    ("doubtful", "-run ahead"),
+    ("confirmed", "-picture"),
+    ("confirmed", "two later", "vouched"),
+    ("confirmed", "three later", "-double length", "vouched"),
+    ("doubtful",),
+)
+#: What a marker says of a no-signal marker before it.
+AFTER_BLANK = (
+    ("lost picture", "blank", "next blank"),
+    ("payload", "two units"),
+    ("lost picture", "picture", "later"),
+    ("repeated", "blank", "same blank"),
+    ("payload",),
+)
+
+
+def verdict(rules: tuple[tuple[str, ...], ...], seen: dict[str, bool]) -> str:
+    return next(said for said, *words in rules if all(not seen.get(w[1:], False) if w[0] == "-" else seen.get(w, False) for w in words))
+
+
 @dataclass
 class Framer:
     """Decides where video units begin and end. Feed events in order of position; `units` collects rows."""
@@ -292,13 +329,24 @@ class Framer:
         self.start, self.run, self.flags, self.pending = at, (counter, fmt), 0, None
         self.vouched = self.vouches(counter, fmt)
 
+    def _relation(self, at: int, counter: int, fmt: int) -> dict[str, bool]:
+        """What a marker is to the run that is buffered; the rules below are written in these words."""
+        if self.run is None:
+            return {"running": False, "plausible": plausible_format(fmt)}
+        run, run_fmt = self.run
+        step, length = (counter - run) % 65536, at - self.start
+        two_long = 2 * UNIT <= length + SLACK
+        ahead = None if self.video16 is None else (run - self.video16) % 65536
+        return {
+            "running": True, "plausible": plausible_format(fmt), "picture": fmt == PICTURE, "blank": fmt == NO_SIGNAL, "picture run": run_fmt == PICTURE,
+            "next": step == 1 and length <= LONGEST, "two units": step == 2 and two_long and length <= DOUBLE,
+            "two later": step == 2, "three later": step == 3, "later": 2 <= step < 0x8000, "double length": two_long and length <= DOUBLE + SLACK, "unit long": length >= UNIT,
+            "vouched": self.vouches(counter, fmt), "vouched run": self.vouched, "run ahead": ahead is None or 1 <= ahead < 0x8000, "pending": self.pending is not None,
+        }
+
     def _end_stale(self, at: int, counter: int, fmt: int) -> None:
         """The run ends without its successor at a marker that begins another."""
-        run16 = self.run[0]
-        step, length = (counter - run16) & 0xFFFF, at - self.start
-        ahead = self.video16 is None or ((run16 - self.video16) & 0xFFFF) - 1 & 0xFFFFFFFF < 0x7FFF
-        twice = length + SLACK >= 2 * UNIT and length <= DOUBLE + SLACK
-        good = self.vouched and ahead and (fmt != PICTURE or (step in (2, 3) and not (step == 3 and twice) and self.vouches(counter, fmt)))
+        good = verdict(ENDS, self._relation(at, counter, fmt)) == "confirmed"
         self.emit(at, True, good, self.flags | (0 if good else DISCONTINUITY), not good)
         self._begin(at, counter, fmt)
 
@@ -345,35 +393,28 @@ class Framer:
         self.pos = at
         spot, counter, fmt, padded = self.candidate
         if self.pending and spot > self.pending[0]:
-            ns_at, ns = self.pending
-            step, length = (counter - self.run[0]) & 0xFFFF, spot - self.start
-            twice = step == 2 and length + SLACK >= 2 * UNIT and length <= DOUBLE
-            real = (fmt == NO_SIGNAL and counter == (ns + 1) & 0xFFFF) or (fmt == PICTURE and 2 <= step < 0x8000 and not twice)
-            self.pending = None
-            if real:
-                self._end_stale(ns_at, ns, NO_SIGNAL)
-            elif fmt == NO_SIGNAL and counter == ns:
+            (blank_at, blank), self.pending = self.pending, None
+            seen = self._relation(spot, counter, fmt) | {"next blank": counter == (blank + 1) % 65536, "same blank": counter == blank}
+            said = verdict(AFTER_BLANK, seen)
+            if said == "lost picture":
+                self._end_stale(blank_at, blank, NO_SIGNAL)
+            elif said == "repeated":
                 self.candidate, self.wait = None, False
                 return
-        good, stale, confirmed, length = plausible_format(fmt), False, True, spot - self.start
-        if good and self.run:
-            step, run_fmt = (counter - self.run[0]) & 0xFFFF, self.run[1]
-            good = (step == 1 and length <= LONGEST) or (step == 2 and length + SLACK >= 2 * UNIT and length <= DOUBLE)
-            if not good and run_fmt != PICTURE and self.vouches(counter, fmt):
-                if at < spot + LOOK:
-                    self.wait = True
-                    return
-                if padded:
-                    good, confirmed = True, False
-            stale = not good and length >= UNIT
-            if not good and not stale and run_fmt == PICTURE and fmt == NO_SIGNAL and self.vouched and not self.pending:
-                self.pending = (spot, counter)
+        seen = self._relation(spot, counter, fmt) | {"looked": at >= spot + LOOK, "padded": bool(padded)}
+        said = verdict(BEGINS, seen)
+        if said == "wait":
+            self.wait = True
+            return
         self.candidate, self.wait = None, False
-        if good:
-            self.emit(spot, self.run is not None, confirmed if self.run else False, self.flags, False)
-            self._begin(spot, counter, fmt)
-        elif stale:
+        if said == "hold":
+            self.pending = (spot, counter)
+        elif said == "stale":
             self._end_stale(spot, counter, fmt)
+        elif said in ("begins", "begins unheard"):
+            running = self.run is not None
+            self.emit(spot, running, running and said == "begins", self.flags, False)
+            self._begin(spot, counter, fmt)
 
     def finish(self) -> None:
         if self.pos > self.start:

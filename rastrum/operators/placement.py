@@ -6,7 +6,7 @@ and in parallel (raster.geometry). One stream (capture and epoch) is one sequent
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,90 +33,148 @@ class Policy:
             raise ValueError("thresholds out of range")
 
 
-@dataclass
+@dataclass(frozen=True)
+class Correction:
+    """What combing taught about two tops: the distance between the fields is this much more than the tops say."""
+
+    tops: tuple[int, int]
+    amount: int
+    sure: bool  # a second frame has said so
+
+
+@dataclass(frozen=True)
+class Proposal:
+    """The distance between the fields that a frame's edges propose."""
+
+    tops: tuple[int, int] | None  # both first lines, if both are known
+    between: int | None  # the tops' own distance
+    distance: int | None
+    source: str
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """Why combing is asked, and what may overrule it."""
+
+    triggers: frozenset[str]
+    motion: str | None
+    still: bool
+    suppressed: bool
+
+    @property
+    def asked(self) -> bool:
+        return bool(self.triggers)
+
+    @property
+    def counts(self) -> bool:
+        return self.asked and not self.suppressed
+
+
 class Placer:
-    """Placement of one stream's frames in order; `step` takes a frame's row and gives its decision."""
+    """Placement of one stream's frames in order; `step` takes a frame's row and gives its decision.
 
-    policy: Policy = field(default_factory=Policy)
-    held: int = 0  # what the comb adds to the distance of the tops
-    unsure: bool = False  # a new correction waits for the next frame to confirm it
-    basis: tuple[int, int] | None = None  # tops that the correction belongs to
-    last: tuple[int, int] | None = None  # distance and second field's place, as published last
-    votes: list[int] = field(default_factory=list)
-    anchor: int = 0
-    voted: bool = False
+    A frame goes through three stages: its edges propose a distance, evidence is gathered for
+    or against it, a verdict is given. Between frames live the correction that combing last
+    made, what was published last, and the votes for the second field's place.
+    """
+
+    def __init__(self, policy: Policy | None = None):
+        self.policy = policy or Policy()
+        self.anchor, self.voted = 0, False
+        self.reset()
 
     def reset(self) -> None:
         """A break in the stream: evidence is forgotten, the anchor stays."""
-        self.held, self.unsure, self.basis, self.last, self.votes = 0, False, None, None, []
-
-    def step(self, r: dict) -> dict:
-        p, a, b = self.policy, r["f1"], r["f2"]
-        tops, triggers = (a["first"], b["first"]), set()
-        if self.basis and self.basis != tops:
-            self.held, self.unsure, self.basis = 0, False, None
-            triggers.add("basis")
-        known = all(tops)
-        between = tops[1] - FIELD - tops[0] if known else None
-        d = between + self.held if known else None
-        source = ("held" if self.held else "census") if known else ("previous" if self.last else "start")
-        if not known:
-            triggers.add("unmeasurable")
-        else:
-            ends = a["last"] and b["last"]
-            low = b["last"] - FIELD - a["last"]
-            if d - between not in (0, 1) or (ends and d - low not in (0, 1)):
-                triggers.add("distance")
-            if not ends or not a["bottom"] or not b["bottom"]:
-                triggers.add("unmeasurable")
+        self.correction: Correction | None = None
+        self.published: tuple[int, int] | None = None  # distance and second field's place
+        self.votes: list[int] = []
+
+    def propose(self, frame: dict) -> Proposal:
+        tops = frame["f1"]["first"], frame["f2"]["first"]
+        if not all(tops):
+            return Proposal(None, None, None, "previous" if self.published else "start")
+        between = tops[1] - FIELD - tops[0]
+        extra = self.correction.amount if self.correction and self.correction.tops == tops else 0
+        return Proposal(tops, between, between + extra, "held" if extra else "census")
+
+    def gather(self, frame: dict, proposed: Proposal) -> Evidence:
+        fields = frame["f1"], frame["f2"]
+        ends = [f["last"] for f in fields]
+        said = {
+            "basis": self.correction is not None and self.correction.tops != (fields[0]["first"], fields[1]["first"]),
+            "unmeasurable": proposed.tops is None or not all(ends) or not all(f["bottom"] for f in fields),
+        }
+        if proposed.tops:
+            # A picture's first and last lines lie as far apart as its fields do, or one line less.
+            apart = [proposed.between] + ([ends[1] - FIELD - ends[0]] if all(ends) else [])
+            said["distance"] = any(proposed.distance - x not in (0, 1) for x in apart)
+            said["confirm"] = self.correction is not None and not self.correction.sure and not said["basis"]
             # A motion that wasn't measured calls for the comb as any odd one does.
-            triggers |= {f"field{k}" for k, f in ((1, a), (2, b)) if (f["motion"] or "unknown") not in ("nothing", "valid move")}
-            if self.unsure:
-                triggers.add("confirm")
-        comb = {"shift": r["comb_shift"], "energies": list(r["comb_energies"])}
-        shifts = (a["shift"], b["shift"])
+            said |= {f"field{k}": f["motion"] not in ("nothing", "valid move") for k, f in enumerate(fields, 1)}
+        shifts = [f["shift"] for f in fields]
         motion = None if None in shifts else "moving" if any(shifts) else "still"
-        ran, still = bool(triggers), False
-        before = self.last[0] if self.last else 0
-        if motion == "still":
-            seen = comb_basin(comb, d if d is not None else before, p.basin)
-            if seen["basin"] and seen["ratio"] is not None and seen["ratio"] >= p.reject:
-                ran = still = True
-                triggers.add("still")
-        straight = lambda f: f["rigid_dx"] == 0 and f["rigid_dy"] is not None and abs(f["rigid_dy"]) >= p.rigid_least and f["rigid_clarity"] >= p.rigid_clarity
-        suppressed = motion == "moving" and ran and straight(a) and straight(b)
-        if ran and not suppressed and r["comb_decided"]:
-            source, d = "comb", r["comb_shift"]
-            if not known:
-                self.held, self.unsure, self.basis = 0, False, None
-            else:
-                fix = d - between
-                self.unsure = not self.unsure and fix != self.held
-                self.held, self.basis = fix, tops
-        if d is None:
-            d = before
-        d2 = tops[1] - TOP2 if tops[1] else self.last[1] if self.last else 0
-        seen = comb_basin(comb, d, p.basin)
-        rejected = discarded = False
-        if ran and not suppressed and seen["ratio"] is not None and seen["ratio"] > p.reject:
-            rejected = True
-            self.held, self.unsure, self.basis = 0, False, None
-            if seen["basin"]:
-                d, source = comb["shift"], "comb_rejection"
-            else:
-                discarded, source = True, "discard_previous" if self.last else "discard_start"
-                d, d2 = self.last or (0, 0)
-        self.last = (d, d2)
-        anchored = self._vote(r, seen)
+        still = motion == "still" and self._combs(frame, proposed.distance if proposed.tops else self._last()[0], self.policy.reject)
+        triggers = frozenset(k for k, v in (said | {"still": still}).items() if v)
+        return Evidence(triggers, motion, still, bool(triggers) and motion == "moving" and all(map(self._rigid, fields)))
+
+    def _last(self) -> tuple[int, int]:
+        return self.published or (0, 0)
+
+    def _basin(self, frame: dict, distance: int) -> dict:
+        return comb_basin({"shift": frame["comb_shift"], "energies": list(frame["comb_energies"])}, distance, self.policy.basin)
+
+    def _combs(self, frame: dict, distance: int, least: float) -> bool:
+        """Whether a distance combs in a frame whose comb has one clear basin."""
+        seen = self._basin(frame, distance)
+        return bool(seen["basin"]) and seen["ratio"] is not None and seen["ratio"] >= least
+
+    def _rigid(self, field_: dict) -> bool:
+        dx, dy, clarity = field_["rigid_dx"], field_["rigid_dy"], field_["rigid_clarity"]
+        return dx == 0 and dy is not None and abs(dy) >= self.policy.rigid_least and clarity >= self.policy.rigid_clarity
+
+    def step(self, frame: dict) -> dict:
+        proposed = self.propose(frame)
+        evidence = self.gather(frame, proposed)
+        if "basis" in evidence.triggers:
+            self.correction = None
+        distance, source = proposed.distance, proposed.source
+        if evidence.counts and frame["comb_decided"]:
+            distance, source = frame["comb_shift"], "comb"
+            self.correction = self._corrected(proposed, distance)
+        if distance is None:
+            distance = self._last()[0]
+        second = frame["f2"]["first"] - TOP2 if frame["f2"]["first"] else self._last()[1]
+        seen = self._basin(frame, distance)
+        rejected = evidence.counts and seen["ratio"] is not None and seen["ratio"] > self.policy.reject
+        discarded = rejected and not seen["basin"]
+        if rejected:
+            self.correction = None
+        if discarded:
+            source = "discard_previous" if self.published else "discard_start"
+            distance, second = self._last()
+        elif rejected:
+            distance, source = frame["comb_shift"], "comb_rejection"
+        self.published = distance, second
+        confident = self._vote(frame, seen)
         return {
-            "d1": self.anchor - d, "d2": self.anchor, "between": d, "engine_d2": d2, "held": self.held, "triggers": "+".join(sorted(triggers)), "comb_ran": ran, "comb_suppressed": suppressed, "still_trigger": still,
-            "rejected": rejected, "discarded": discarded, "relative_source": source, "picture_motion": motion, "vote_confident": anchored, "vote_count": len(self.votes), "vote_winner_count": max((self.votes.count(v) for v in self.votes), default=0),
+            "d1": self.anchor - distance, "d2": self.anchor, "between": distance, "engine_d2": second, "held": self.correction.amount if self.correction else 0, "triggers": "+".join(sorted(evidence.triggers)),
+            "comb_ran": evidence.asked, "comb_suppressed": evidence.suppressed, "still_trigger": evidence.still, "rejected": rejected, "discarded": discarded, "relative_source": source,
+            "picture_motion": evidence.motion, "vote_confident": confident, "vote_count": len(self.votes), "vote_winner_count": max((self.votes.count(v) for v in self.votes), default=0),
         }
 
-    def _vote(self, r: dict, seen: dict) -> bool:
+    def _corrected(self, proposed: Proposal, distance: int) -> Correction | None:
+        """The correction after combing has decided: one that says the same twice running, or nothing new, is sure."""
+        if proposed.tops is None:
+            return None
+        before, amount = self.correction, distance - proposed.between
+        doubted = before is not None and not before.sure
+        return Correction(proposed.tops, amount, doubted or amount == (before.amount if before else 0))
+
+    def _vote(self, frame: dict, seen: dict) -> bool:
         """A confident frame votes for its second field's place; the mode of the window is the anchor."""
-        t1, t2 = r["vote_top1"], r["vote_top2"]
-        sure = bool(t1 and t2) and seen["basin"] and seen["floor_lo"] <= t2 - FIELD - t1 <= seen["floor_hi"] + 1 and r["vote_alike"] is not None and r["vote_alike"] >= self.policy.alike and not r["vote_spot"]
+        t1, t2 = frame["vote_top1"], frame["vote_top2"]
+        placed = bool(t1 and t2) and seen["basin"] and seen["floor_lo"] <= t2 - FIELD - t1 <= seen["floor_hi"] + 1
+        sure = placed and frame["vote_alike"] is not None and frame["vote_alike"] >= self.policy.alike and not frame["vote_spot"]
         if sure:
             self.votes = [*self.votes, t2 - TOP2][-self.policy.window :]
         if self.votes:
