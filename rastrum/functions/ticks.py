@@ -74,28 +74,82 @@ def number_list(text: Column) -> Column:
 
 
 def strict_natural(text: Column) -> Column:
-    """A decimal natural number without sign or spaces; null if it is none or exceeds a long."""
-    return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("long"))
+    """A decimal natural number without sign or spaces, as decimal(20,0); null if it is none or exceeds 64 bits."""
+    digits = F.regexp_replace(text, "^0+(?=.)", "")
+    value = F.when(text.rlike(r"\A[0-9]+\z") & (F.length(digits) <= 20), digits.try_cast("decimal(20,0)"))
+    return F.when(value <= F.lit("18446744073709551615").cast("decimal(20,0)"), value)
 
 
-def quoted(text: Column) -> Column:
-    """A CSV cell in quotes, quotes within doubled."""
-    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+def clamp_offset(start: Column, offset: Column, lines: int = 525, height: int = 240) -> Column:
+    """An offset from a field's first line such that all its `height` lines lie in the raster."""
+    return F.least(F.greatest(offset, -start), F.lit(lines - height) - start)
 
 
-def run_label(first: Column, last: Column) -> Column:
-    """`a` or `a-b`."""
-    return F.when(first == last, first.cast("string")).otherwise(F.concat_ws("-", first, last))
+def saturating_add(count: Column, more: Column, most: int = 2**32 - 1) -> Column:
+    """A counter that stays at its greatest value."""
+    return F.least(count + more, F.lit(most))
 
 
-def wrap_count(nbytes: Column, base: Column, density: int) -> Column:
-    """How often a 16-bit counter wrapped before a byte position, from the bytes a unit takes."""
-    return F.bround((nbytes / density - base) / 65536).cast("long")
+def names_of(code: Column, names: dict) -> Column:
+    """The name of a code; null for an unknown one."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), code)
 
 
-def mode_word(fields: list[tuple[Column, int]]) -> Column:
-    """Bit fields (value, shift) in one word."""
-    word = F.lit(0).cast("long")
-    for value, shift in fields:
-        word = word.bitwiseOR(F.shiftleft(value.cast("long"), shift))
-    return word
+def shortest(x: Column, digits: int) -> Column:
+    """A double with `digits` significant digits and no trailing zeros, as %g writes it: with an exponent below 1e-4 and from 10**digits on."""
+    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+    power = F.get(parts, F.lit(1)).cast("int")
+    bare = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    scientific = F.concat(bare(F.get(parts, F.lit(0))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    # Decimals behind the point depend on the size, so a literal format won't do.
+    fixed = F.call_function("format_string", F.concat(F.lit("%."), (F.lit(digits - 1) - power).cast("string"), F.lit("f")), x)
+    plain = F.when(x == 0, "0").when((power < -4) | (power >= digits), scientific).otherwise(bare(fixed))
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(plain)
+
+
+def ten_bit(code: Column) -> Column:
+    """An 8-bit code as a 10-bit word: four times itself."""
+    return F.shiftleft(code.cast("int"), 2)
+
+
+def actions(text: Column) -> Column:
+    """`line:action` tokens parted by spaces as an array of (line, action); empty for an empty cell."""
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    return F.transform(tokens, lambda t: F.struct(F.substring_index(t, ":", 1).try_cast("int").alias("line"), F.substring_index(t, ":", -1).alias("action")))
+
+
+# --- identity strips: 12 bytes that name a frame, with a checksum ------------------------------------
+
+#: First byte, and bytes of the strip without its checksum.
+STRIP_SYNC, STRIP_BYTES = 0xD3, 11
+
+
+def _byte(data: Column, at: int) -> Column:
+    return F.conv(F.hex(F.substring(data, at, 1)), 16, 10).cast("long")
+
+
+def _bytes_xor(data: Column, n: int) -> Column:
+    return xor_checksum(F.array(*[_byte(data, i) for i in range(1, n + 1)]))
+
+
+def strip(ordinal: Column, counter: Column, d1: Column, d2: Column) -> Column:
+    """A frame's identity as bytes: sync, two 32-bit numbers with the high byte first, two signed bytes, XOR of all."""
+    wide = lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(2**32))), 8, "0")
+    narrow = lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(256))), 2, "0")
+    body = F.unhex(F.concat(F.lit(f"{STRIP_SYNC:02X}"), wide(ordinal), wide(counter), narrow(d1), narrow(d2)))
+    return F.concat(body, F.unhex(F.lpad(F.hex(_bytes_xor(body, STRIP_BYTES)), 2, "0")))
+
+
+def read_strip(data: Column) -> Column:
+    """Ordinal, counter, d1 and d2 of a strip; null if its length, sync or checksum is wrong."""
+    wide = lambda at: F.conv(F.hex(F.substring(data, at, 4)), 16, 10).cast("long")
+    signed = lambda at: F.pmod(_byte(data, at) + 128, F.lit(256)) - 128
+    whole = (F.octet_length(data) == STRIP_BYTES + 1) & (_byte(data, 1) == STRIP_SYNC) & (_bytes_xor(data, STRIP_BYTES) == _byte(data, STRIP_BYTES + 1))
+    return F.when(whole, F.struct(wide(2).alias("ordinal"), wide(6).alias("counter"), signed(10).alias("d1"), signed(11).alias("d2")))
+
+
+def drawn_bits(data: Column, cell: int = 7, dark: int = 16, light: int = 240) -> Column:
+    """A strip's bytes as levels of a line, `cell` pixels a bit, high bits first."""
+    at = lambda x: F.floor(x / cell).cast("int")
+    bit = lambda x: F.getbit(_byte(data, F.floor(at(x) / 8).cast("int") + 1), 7 - F.pmod(at(x), F.lit(8)))
+    return F.transform(F.sequence(F.lit(0), F.octet_length(data) * 8 * cell - 1), lambda x: F.when(bit(x) == 1, light).otherwise(dark))

@@ -480,3 +480,47 @@ def video_units(packets: DataFrame, block: int = 64 << 20) -> DataFrame:
     end = event(at.groupBy("capture_id").agg(F.max("video_to").alias("fed")), "end", 10, F.col("fed"), F.lit(0))
     events = markers.unionByName(flagged.withColumn("seq", F.col("seq") * 4096)).unionByName(losses.withColumn("seq", F.col("seq") * 4096)).unionByName(audio).unionByName(end)
     return events.groupBy("capture_id").applyInPandas(_framed, UNITS_DDL)
+
+
+# --- what may be done with units that aren't whole ---------------------------------------------------
+
+
+def repair_candidates(units: DataFrame) -> DataFrame:
+    """Adds `repairable`: a confirmed picture unit of a wrong length that one stall or insert can explain, or a run of two."""
+    n = F.col("byte_count")
+    near = (n != UNIT) & (n >= UNIT - SLACK) & (n <= DOUBLE)
+    short = (F.col("transport") == "short") & (n <= LONGEST)
+    return units.withColumn("repairable", (F.col("kind") == "picture") & F.col("counter_confirmed") & near & (short | (F.col("transport") == "unframed")))
+
+
+def showable_parts(units: DataFrame, picture_bytes: str = "picture_bytes", least_rows: int = 32) -> DataFrame:
+    """Adds `showable`: a unit cut short that still holds `least_rows` rows of picture; units with bytes missing inside are none."""
+    whole = ~F.col("transport").isin("hole", "unframed") & (F.col("byte_count") <= UNIT)
+    return units.withColumn("showable", F.coalesce(whole & (F.col("format").bitwiseAND(0xFF00) == 0xE800) & (F.col(picture_bytes) >= HEADER + least_rows * ROW), F.lit(False)))
+
+
+def sampled_units(units: DataFrame, keys: list[str], order: str, every: int = 4) -> DataFrame:
+    """One whole unit in `every`, from the first on: those the noise meter looks at."""
+    numbered = Scan(keys, order).running(__n=F.lit(1)).over(units.where((F.col("transport") == "complete") & F.col("eligible")))
+    return numbered.where((F.col("__n") - 1) % every == 0).drop("__n")
+
+
+def first_units(units: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n units in order."""
+    return units.orderBy(*order).limit(n)
+
+
+def overridden(decisions: DataFrame, first1: int = 0, first2: int = 0) -> DataFrame:
+    """Decisions with registration off: every frame at the nominal place, or at the first lines given; what was decided stays in its other columns."""
+    at = (first1 - 23 if first1 else 0, first2 - 286 if first2 else 0)
+    return decisions.withColumns({f"d{k}": F.lit(x) for k, x in enumerate(at, 1)})
+
+
+def parts_in_order(parts: list[DataFrame], order: str, size: list[int]) -> DataFrame:
+    """The parts of one recording as one: `part` (from 1) and `position`, the record's place in all of it; size: bytes of each part."""
+    out, base = None, 0
+    for n, (df, nbytes) in enumerate(zip(parts, size, strict=True), 1):
+        one = df.withColumn("part", F.lit(n)).withColumn("position", F.col(order) + base)
+        out = one if out is None else out.unionByName(one)
+        base += nbytes
+    return out

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .ordered import Scan
 
@@ -22,7 +25,8 @@ def correlate(units: DataFrame, resyncs: DataFrame, keys: list[str], counter: st
     """Each unit with the newest resync of its counter that had arrived and was among the last `held` then.
 
     units: keys, counter, arrival; resyncs: the same and more. Arrival positions order both. The
-    resync's rank among its stream's, and how many had arrived when the unit did, decide.
+    resync's rank among its stream's, and how many had arrived when the unit did, decide: a unit meets
+    only resyncs of its counter in its own and the last cell of `held` ranks. Repeated units each get their row.
     """
     both = units.select(*keys, F.col(arrival).alias("__at"), F.lit(1).alias("__unit")).distinct().unionByName(resyncs.select(*keys, F.col(arrival).alias("__at"), F.lit(0).alias("__unit")))
     # Ties: a resync that arrives with the unit has not been seen yet, so the unit comes first.
@@ -31,15 +35,23 @@ def correlate(units: DataFrame, resyncs: DataFrame, keys: list[str], counter: st
     at_unit = seen.where("__unit = 1").select(*keys, "__at", F.col("__seen").alias("__arrived"))
     ranked = seen.where("__unit = 0").select(*keys, "__at", F.col("__seen").alias("__rank"))
     extra = [c for c in resyncs.columns if c not in (*keys, counter, arrival)]
+    cell = lambda rank: F.floor(rank / held)
     rows = resyncs.join(ranked, (resyncs[arrival] == ranked["__at"]) & _same(resyncs, ranked, keys)).select(
-        *[resyncs[k].alias(f"__k_{k}") for k in keys], resyncs[counter].alias("__counter"), "__rank", *[resyncs[c].alias(f"__r_{c}") for c in extra]
+        *[resyncs[k].alias(f"__k_{k}") for k in keys], resyncs[counter].alias("__counter"), "__rank", cell(ranked["__rank"]).alias("__c"), *[resyncs[c].alias(f"__r_{c}") for c in extra]
     )
-    placed = units.join(at_unit, (units[arrival] == at_unit["__at"]) & _same(units, at_unit, keys)).select(*[units[c] for c in units.columns], "__arrived")
-    on = (placed[counter] == rows["__counter"]) & (rows["__rank"] <= placed["__arrived"]) & (rows["__rank"] > placed["__arrived"] - held)
+    # One lookup for units that are alike.
+    asked = units.select(*keys, counter, arrival).distinct()
+    placed = asked.join(at_unit, (asked[arrival] == at_unit["__at"]) & _same(asked, at_unit, keys)).select(*[asked[c] for c in asked.columns], "__arrived")
+    placed = placed.withColumn("__cell", F.explode(F.array(cell(F.col("__arrived")), cell(F.col("__arrived")) - 1)))
+    on = (placed[counter] == rows["__counter"]) & (placed["__cell"] == rows["__c"]) & (rows["__rank"] <= placed["__arrived"]) & (rows["__rank"] > placed["__arrived"] - held)
     for k in keys:
         on = on & placed[k].eqNullSafe(rows[f"__k_{k}"])
-    newest = placed.join(rows, on, "left").groupBy(*units.columns).agg(F.max_by(F.struct(*[F.col(f"__r_{c}").alias(c) for c in extra]), "__rank").alias("__m"))
-    return newest.select(*units.columns, *[F.col("__m")[c].alias(f"matched_{c}") for c in extra])
+    newest = placed.join(rows, on).groupBy(*asked.columns).agg(F.max_by(F.struct(*[F.col(f"__r_{c}").alias(c) for c in extra]), "__rank").alias("__m"))
+    newest = newest.select(*[F.col(c).alias(f"__a_{c}") for c in asked.columns], "__m")
+    back = F.lit(True)
+    for c in asked.columns:
+        back = back & units[c].eqNullSafe(newest[f"__a_{c}"])
+    return units.join(newest, back, "left").select(*[units[c] for c in units.columns], *[F.col("__m")[c].alias(f"matched_{c}") for c in extra])
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -50,32 +62,59 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 
 
 def schedule_lookup(df: DataFrame, schedule: DataFrame, counter: str, first: str = "first_counter") -> DataFrame:
-    """Each row with the schedule's last row whose first counter is its own or less.
+    """Each row with the schedule's last row whose first counter is its own or less; nulls where there is none, as with an empty schedule.
 
-    The schedule is small by its format; its size is checked before it goes to every task.
+    The schedule is small by its format; its size is checked before it goes to every task. A row's step is
+    found by binary search over the sorted first counters, the rest of the step by a join on its number.
     """
-    n = schedule.limit(MOST_SCHEDULE_ROWS + 1).count()
-    if n > MOST_SCHEDULE_ROWS:
+    rows = schedule.limit(MOST_SCHEDULE_ROWS + 1).collect()
+    if len(rows) > MOST_SCHEDULE_ROWS:
         raise ValueError(f"a schedule has at most {MOST_SCHEDULE_ROWS} rows")
-    extra = [c for c in schedule.columns]
-    steps = schedule.withColumn("__until", F.lead(first).over(Window.orderBy(first)))
-    # One sorted array, and the last step at or below the counter in it.
-    folded = steps.agg(F.array_sort(F.collect_list(F.struct(first, *[c for c in extra if c != first]))).alias("__steps"))
-    row = folded.first()[0]
-    literal = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in row])
-    hit = F.element_at(F.filter(literal, lambda s: s[first] <= F.col(counter)), -1)
-    return df.withColumn("__hit", F.when(F.col(counter) >= row[0][first], hit)).select(*df.columns, *[F.col("__hit")[c].alias(c) for c in extra])
+    rows.sort(key=lambda r: r[first])
+    firsts = np.array([r[first] for r in rows], np.int64)
+
+    @F.pandas_udf("int")
+    def step(x: pd.Series) -> pd.Series:
+        # The first of equal steps is passed over: the last row counts.
+        return pd.Series(np.where(x.isna(), -1, np.searchsorted(firsts, x.fillna(0).to_numpy(np.int64), side="right") - 1), dtype="int32")
+
+    numbered = df.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(rows)], StructType([StructField("__step", IntegerType()), *schedule.schema.fields]))
+    found = df.withColumn("__at", step(F.col(counter).cast("long")))
+    return found.join(F.broadcast(numbered), F.col("__at") == F.col("__step"), "left").select(*[found[c] for c in df.columns], *[numbered[c] for c in schedule.columns])
 
 
 def nearest(df: DataFrame, candidates: DataFrame, key16: str, extended: str, target: str, most: int) -> DataFrame:
     """Each row with the candidate of its 16-bit key whose extended counter is nearest to its target, within `most`; ties to the smaller.
 
-    Candidates that share a 16-bit value lie 65536 apart, so a row meets few of them.
+    Both are dealt to cells as wide as the reach, so a row meets the candidates of two or three cells. Repeated rows each get theirs.
     """
-    c = candidates.select(F.pmod(F.col(extended), F.lit(65536)).alias("__k"), F.col(extended).alias("__e"))
-    near = df.join(c, df[key16] == c["__k"], "left").withColumn("__d", F.abs(F.col("__e") - F.col(target)))
-    best = near.groupBy(*df.columns).agg(F.min(F.when(F.col("__d") <= most, F.struct("__d", "__e"))).alias("__m"))
-    return best.select(*df.columns, F.col("__m")["__e"].alias("nearest"), F.col("__m")["__d"].alias("distance"))
+    width = 2 * most + 1
+    cell = lambda x: F.floor(x / width)
+    c = candidates.select(F.pmod(F.col(extended), F.lit(65536)).alias("__k"), F.col(extended).alias("__e"), cell(F.col(extended)).alias("__c")).distinct()
+    asked = df.select(F.col(key16).alias("__key"), F.col(target).alias("__target")).distinct()
+    spread = asked.withColumn("__cell", F.explode(F.sequence(cell(F.col("__target") - most), cell(F.col("__target") + most))))
+    near = spread.join(c, (F.col("__key") == F.col("__k")) & (F.col("__cell") == F.col("__c"))).withColumn("__d", F.abs(F.col("__e") - F.col("__target"))).where(F.col("__d") <= most)
+    best = near.groupBy("__key", "__target").agg(F.min(F.struct("__d", "__e")).alias("__m"))
+    back = df[key16].eqNullSafe(best["__key"]) & df[target].eqNullSafe(best["__target"])
+    return df.join(best, back, "left").select(*[df[x] for x in df.columns], F.col("__m")["__e"].alias("nearest"), F.col("__m")["__d"].alias("distance"))
+
+
+def decisions_of_units(units: DataFrame, log: DataFrame, keys: list[str], ordinal: str, counter16: str, complete: str, extended: str, strict: bool = True) -> DataFrame:
+    """Each unit with its log row's extended counter, by ordinal, and `refused`: why the log can't be this recording's, or null.
+
+    A unit without a row, and a complete unit whose counter isn't the low 16 bits of the row's, are refused; so is an ordinal that
+    several rows have. strict: the first refusal raises.
+    """
+    rows = log.groupBy(*keys, ordinal).agg(F.min(extended).alias("__ext"), F.count("*").alias("__rows"))
+    rows = rows.withColumnsRenamed({c: f"__l_{c}" for c in [*keys, ordinal]})
+    on = units[ordinal] == rows[f"__l_{ordinal}"]
+    for k in keys:
+        on = on & units[k].eqNullSafe(rows[f"__l_{k}"])
+    joined = units.join(rows, on, "left")
+    wrong = F.col(complete) & (F.col("__ext").isNull() | ~F.col("__ext").bitwiseAND(65535).eqNullSafe(F.col(counter16)))
+    why = F.when(F.col("__rows").isNull(), "no row").when(F.col("__rows") > 1, "several rows").when(wrong, "another counter")
+    said = F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("unit "), F.col(ordinal).cast("string"), F.lit(": "), why)).cast("string")) if strict else why
+    return joined.select(*[units[c] for c in units.columns], F.col("__ext").alias(extended), said.alias("refused"))
 
 
 def audit(expected: DataFrame, found: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -114,16 +153,32 @@ def lost_between(pairs: DataFrame, lost: DataFrame, first: str, second: str, cou
     return pairs.join(hit, [first, second], "left").withColumn("lost_between", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
-def overlay(spans: DataFrame, keys: list[str], start: str, end: str, priority: str, columns: list[str]) -> DataFrame:
-    """Overlapping spans laid over each other, the highest priority (later record) on top: disjoint spans."""
-    edges = spans.select(*keys, F.explode(F.array(start, end)).alias("__a")).distinct()
-    cells = edges.withColumn("__b", F.lead("__a").over(Window.partitionBy(*keys).orderBy("__a"))).where("__b IS NOT NULL")
-    cells = cells.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    on = (cells["__a"] >= spans[start]) & (cells["__b"] <= spans[end])
+def overlay(spans: DataFrame, keys: list[str], start: str, end: str, priority: str, columns: list[str], cell: int = 1 << 20) -> DataFrame:
+    """Overlapping spans laid over each other, the highest priority (later record) on top: disjoint spans, cut at every span's ends.
+
+    Spans are cut into cells of the axis, so a stretch meets only spans of its cell; what a cell's edge alone has cut is put together again.
+    """
+    at = lambda x: F.floor(x / cell)
+    real = spans.where(F.col(end) > F.col(start))
+    cut = real.withColumn("__cell", F.explode(F.sequence(at(F.col(start)), at(F.col(end) - 1))))
+    cut = cut.withColumn("__from", F.greatest(start, F.col("__cell") * cell)).withColumn("__to", F.least(end, (F.col("__cell") + 1) * cell))
+    edges = cut.select(*keys, "__cell", F.explode(F.array(F.struct(F.col("__from").alias("a"), (F.col("__from") == F.col(start)).alias("real")), F.struct(F.col("__to").alias("a"), (F.col("__to") == F.col(end)).alias("real")))).alias("__e"))
+    edges = edges.groupBy(*keys, "__cell", F.col("__e.a").alias("__a")).agg(F.max("__e.real").alias("__real"))
+    inside = Window.partitionBy(*keys, "__cell").orderBy("__a")
+    parts = edges.withColumn("__b", F.lead("__a").over(inside)).where("__b IS NOT NULL").withColumnsRenamed({k: f"__k_{k}" for k in keys} | {"__cell": "__at"})
+    on = (parts["__at"] == cut["__cell"]) & (parts["__a"] >= cut["__from"]) & (parts["__b"] <= cut["__to"])
+    for k in keys:
+        on = on & parts[f"__k_{k}"].eqNullSafe(cut[k])
+    top = parts.join(cut, on).groupBy(*keys, "__a", "__b").agg(F.max_by(F.struct(*columns), priority).alias("__t"), F.max("__real").alias("__real"))
+    # A cell's edge where no span begins: the stretch before it goes on, and a span of another cell may end or begin just there.
+    ends = edges.groupBy(*keys, "__a").agg(F.max("__real").alias("__really")).withColumnsRenamed({k: f"__k_{k}" for k in keys} | {"__a": "__p"})
+    on = top["__a"] == ends["__p"]
     for k in keys:
-        on = on & cells[f"__k_{k}"].eqNullSafe(spans[k])
-    top = cells.join(spans, on).groupBy(*keys, "__a", "__b").agg(F.max_by(F.struct(*columns), priority).alias("__t"))
-    return top.select(*keys, F.col("__a").alias(start), F.col("__b").alias(end), *[F.col("__t")[c].alias(c) for c in columns])
+        on = on & top[k].eqNullSafe(ends[f"__k_{k}"])
+    marked = top.join(ends, on).select(*[top[c] for c in top.columns if c != "__real"], F.col("__really").cast("long").alias("__new"))
+    whole = Scan(keys, "__a", cell * 1024).running(__run=F.col("__new")).over(marked)
+    out = whole.groupBy(*keys, "__run").agg(F.min("__a").alias(start), F.max("__b").alias(end), F.first("__t").alias("__t"))
+    return out.select(*keys, start, end, *[F.col("__t")[c].alias(c) for c in columns])
 
 
 def within_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, cell: int = 1 << 20) -> DataFrame:

@@ -44,6 +44,8 @@ class Scan:
         self._sums: dict[str, Column] = {}
         self._last: dict[str, Column] = {}
         self._leads: dict[str, Column] = {}
+        self._highest: dict[str, Column] = {}
+        self._before: dict[str, Column] = {}
 
     def lag(self, **new: Column) -> Scan:
         """Each expression's value on the row before (null on the first)."""
@@ -64,10 +66,20 @@ class Scan:
         self._last |= new
         return self
 
+    def highest(self, **new: Column) -> Scan:
+        """Each expression's greatest value up to and with the row."""
+        self._highest |= new
+        return self
+
+    def highest_before(self, **new: Column) -> Scan:
+        """Each expression's greatest value before the row (null on the first)."""
+        self._before |= new
+        return self
+
     def over(self, df: DataFrame) -> DataFrame:
         names = df.columns
         at = F.col(self.order)
-        exprs = [v.alias(f"__{kind}_{k}") for kind, found in (("lag", self._lags), ("sum", self._sums), ("last", self._last), ("lead", self._leads)) for k, v in found.items()]
+        exprs = [v.alias(f"__{kind}_{k}") for kind, found in (("lag", self._lags), ("sum", self._sums), ("last", self._last), ("lead", self._leads), ("top", self._highest | self._before)) for k, v in found.items()]
         by = [f"__k{i}" for i in range(len(self.keys))] + [_B]
         # Rows are dealt out once, and the table of blocks is made from the same shuffle. It must need
         # the same columns for that, so a row travels as one value that the blocks look at too (in an
@@ -81,6 +93,7 @@ class Scan:
         edges += [F.sum(f"__sum_{k}").alias(f"__total_{k}") for k in self._sums]
         # The latest known value of a block is the one with the highest place among those known.
         edges += [F.max(F.when(F.col(f"__last_{k}").isNotNull(), F.struct(at.alias("at"), F.col(f"__last_{k}").alias("v")))).alias(f"__known_{k}") for k in self._last]
+        edges += [F.max(f"__top_{k}").alias(f"__most_{k}") for k in self._highest | self._before]
         blocks = df.groupBy(*by).agg(*edges).where(F.col("__any").isNotNull())
         over = Window.partitionBy(*by[:-1]).orderBy(_B)
         before = over.rowsBetween(Window.unboundedPreceding, -1)
@@ -88,6 +101,7 @@ class Scan:
         carry += [F.lead("__head").over(over).alias("__head")] if lead_cols else []
         carry += [F.coalesce(F.sum(f"__total_{k}").over(before), F.lit(0)).alias(f"__total_{k}") for k in self._sums]
         carry += [F.last(f"__known_{k}", ignorenulls=True).over(before).alias(f"__known_{k}") for k in self._last]
+        carry += [F.max(f"__most_{k}").over(before).alias(f"__most_{k}") for k in self._highest | self._before]
         blocks = blocks.select(*[F.col(c).alias(f"__b_{c}") for c in by], *carry)
         same = F.lit(True)
         for c in by:
@@ -108,4 +122,22 @@ class Scan:
             out = out.withColumn(k, F.sum(f"__sum_{k}").over(upto) + F.col(f"__total_{k}"))
         for k in self._last:
             out = out.withColumn(k, F.coalesce(F.last(f"__last_{k}", ignorenulls=True).over(upto), F.col(f"__known_{k}")["v"]))
-        return out.withColumn("__row", F.element_at("__row", 1)).select(*[F.col("__row")[c].alias(c) for c in names], *self._lags, *self._leads, *self._sums, *self._last)
+        # greatest() passes over nulls.
+        for k in self._highest:
+            out = out.withColumn(k, F.greatest(F.max(f"__top_{k}").over(upto), F.col(f"__most_{k}")))
+        for k in self._before:
+            out = out.withColumn(k, F.greatest(F.max(f"__top_{k}").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"__most_{k}")))
+        return out.withColumn("__row", F.element_at("__row", 1)).select(*[F.col("__row")[c].alias(c) for c in names], *self._lags, *self._leads, *self._sums, *self._last, *self._highest, *self._before)
+
+
+def with_halo(df: DataFrame, keys: list[str], order: str, rows: int, block: int = BLOCK) -> DataFrame:
+    """The rows dealt to blocks of about `block` rows (`__block`), each block with the `rows` rows before it (`__halo`).
+
+    A window over the last `rows + 1` rows is then one inside (keys, __block); halo rows are dropped after it.
+    """
+    numbered = Scan(keys, order).running(__n=F.lit(1)).over(df)
+    mine = F.expr(f"(__n - 1) div {block}")
+    # A row near its block's end goes to the next block too (to several, where blocks are shorter than the halo).
+    last = F.expr(f"(__n - 1 + {rows}) div {block}")
+    dealt = numbered.withColumn("__block", F.explode(F.sequence(mine, last)))
+    return dealt.withColumn("__halo", F.col("__block") != mine).drop("__n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Scan
 from .sequence import sequence_gaps
 
 
@@ -112,9 +113,53 @@ def top_counts(df: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 
 def two_best(df: DataFrame, keys: list[str], score: str, tie: list[str]) -> DataFrame:
-    """Best and runner-up score of each group and their ratio; ties by the columns given."""
-    kept = df.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct(score, *tie))), 1, 2).alias("__two"))
-    return kept.select(*keys, F.get("__two", F.lit(0))[score].alias("best"), F.get("__two", F.lit(1))[score].alias("second"))
+    """Best and runner-up score of each group; ties by the columns given. Two rows of a group leave each task."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(score, *tie))
+    kept = df.select(*keys, score, place.alias("__place")).where("__place <= 2")
+    return kept.groupBy(*keys).agg(*[F.max(F.when(F.col("__place") == n, F.col(score))).alias(name) for n, name in ((1, "best"), (2, "second"))])
+
+
+def conservation_laws(totals: DataFrame, keys: list[str], laws: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """Laws that don't hold: keys, law, left, right. laws: name -> (columns, columns) whose sums must be equal; no row means all hold."""
+    total = lambda columns: sum((F.coalesce(c, F.lit(0)).cast("long") for c in columns), F.lit(0).cast("long"))
+    checks = F.array(*[F.struct(F.lit(name).alias("law"), total(a).alias("left"), total(b).alias("right")) for name, (a, b) in laws.items()])
+    return totals.select(*keys, F.inline(checks)).where("left <> right")
+
+
+#: What a recording's totals must satisfy.
+LAWS = {
+    "input bytes": (["delivered_bytes", "lost_bytes"], ["input_bytes"]),
+    "eligible units": (["exact_units", "ring_drops"], ["eligible_units"]),
+    "exact units": (["published", "pool_drops", "publisher_drops"], ["exact_units"]),
+    "audio frames": (["pcm_records"], ["audio_published"]),
+    "audio delivery": (["audio_published"], ["audio_delivered", "audio_dropped"]),
+}
+
+
+def misregistration(frames: DataFrame, keys: list[str], still: str, shift: str, ratio: str, least_still: float = 0.05, most_ratio: float = 0.8) -> DataFrame:
+    """Histogram of reweave shifts: keys, shift, measurable, misregistered, share (of all measurable frames of the key that are misregistered).
+
+    Measurable frames have over `least_still` of still picture; of those one is misregistered if another shift than 0 combs less than `most_ratio` as much.
+    """
+    wrong = (F.col(shift) != 0) & (F.col(ratio) < most_ratio)
+    by = frames.where(F.col(still) > least_still).groupBy(*keys, F.col(shift).alias("shift")).agg(F.count("*").alias("measurable"), F.sum(wrong.cast("long")).alias("misregistered"))
+    whole = Window.partitionBy(*keys)  # a few shifts a key
+    return by.withColumn("share", F.sum("misregistered").over(whole) / F.sum("measurable").over(whole))
+
+
+def late_handoffs(timing: DataFrame, keys: list[str], order: str, at: str, spent: list[str], limit: int, block: int | None = None) -> DataFrame:
+    """Handoffs over `limit` after the one before, and where the time went: keys, late, worst (of all handoffs), each of `spent`, other (what none accounts for)."""
+    scan = Scan(keys, order, block) if block else Scan(keys, order)
+    seen = scan.lag(__before=F.col(at)).over(timing).withColumn("__gap", F.col(at) - F.col("__before"))
+    late = F.col("__gap") > limit
+    known = sum((F.coalesce(c, F.lit(0)) for c in spent), F.lit(0).cast("long"))
+    total = lambda c: F.coalesce(F.sum(F.when(late, c)), F.lit(0)).cast("long")
+    return seen.groupBy(*keys).agg(total(F.lit(1)).alias("late"), F.max("__gap").alias("worst"), *[total(F.col(c)).alias(c) for c in spent], total(F.greatest(F.col("__gap") - known, F.lit(0))).alias("other"))
+
+
+def envelope(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Least and greatest value of each group, null without any: keys, least, greatest."""
+    return df.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("greatest"))
 
 
 def confusion(df: DataFrame, keys: list[str], truth: Column, said: Column) -> DataFrame:

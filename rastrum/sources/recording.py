@@ -110,8 +110,8 @@ def find_boundary(data: Bytes, at: int, depth: int = DEPTH, most: int = MOST_SKI
         at += 1
 
 
-def read_records(path: str, start: int, end: int, with_payload: bool, strict: bool, first: bool) -> Iterator[tuple]:
-    """Records that begin in [start, end), as rows without the capture's name. `first`: the split begins at a record, not in the midst."""
+def read_records(path: str, start: int, end: int, with_payload: bool, strict: bool, first: bool, stop: bool = False) -> Iterator[tuple]:
+    """Records that begin in [start, end), as rows without the capture's name. `first`: the split begins at a record, not in the midst. `stop`: nothing is read behind the first bad byte."""
     data = Bytes(path)
     at = start
     if not first:
@@ -125,6 +125,9 @@ def read_records(path: str, start: int, end: int, with_payload: bool, strict: bo
         if header is None or not plausible(header) or at + HEADER_BYTES + size > data.size:
             if strict:
                 raise ValueError(f"{path}: no whole record at byte {at}")
+            if stop:
+                yield at, CORRUPT, None, None, None, None, None, data.size - at, None
+                return
             to = find_boundary(data, at + 1)
             to = to if to >= 0 else data.size
             yield at, CORRUPT, None, None, None, None, None, to - at, None
@@ -158,6 +161,8 @@ class RecordingReader(DataSourceReader):
         self.path = options["path"]
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.drop = options.get("mode", "PERMISSIVE").upper() == "DROPMALFORMED"
+        # STOP reads up to the first bad byte, in one piece, as what lies behind it depends on all before.
+        self.stop = options.get("mode", "PERMISSIVE").upper() == "STOP"
         self.with_payload = options.get("payload", "true").lower() == "true"
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
         self.offset = int(options.get("startingOffset", 0))
@@ -166,13 +171,26 @@ class RecordingReader(DataSourceReader):
         out = []
         for f in _files(self.path):
             size = Bytes(f).size
-            starts = range(self.offset, max(size, self.offset + 1), self.split)
-            out += [Split(f, s, min(size, s + self.split), s == 0) for s in starts]
+            step = max(size, 1) if self.stop else self.split
+            begin = self._aligned(f, size) if self.offset else 0
+            starts = range(begin, max(size, begin + 1), step)
+            out += [Split(f, s, min(size, s + step), s == begin) for s in starts]
         return out
 
+    def _aligned(self, path: str, size: int) -> int:
+        """Where reading begins for a starting offset: at the first video record with packet 0 from the first boundary on (the file's end if there is none)."""
+        at = find_boundary(Bytes(path), min(self.offset, size))
+        for r in read_records(path, at, size, False, False, True) if at >= 0 else ():
+            if r[1] == DATA and r[2] == VIDEO and r[3] == 0:
+                return r[0]
+        return size
+
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         name, rows, size = os.path.basename(split.path), [], 0
-        for r in read_records(split.path, split.start, split.end, self.with_payload, self.strict, split.first):
+        if split.first and split.start and split.start < split.end:
+            # Bytes that the alignment has passed over.
+            rows.append((name, 0, CORRUPT, None, None, None, None, None, split.start, None))
+        for r in read_records(split.path, split.start, split.end, self.with_payload, self.strict, split.first, self.stop):
             if self.drop and r[1] == CORRUPT:
                 continue
             rows.append((name, *r))
@@ -231,26 +249,87 @@ class GrowingReader(SimpleDataSourceStreamReader):
         return iter(self._rows(start["at"], end["at"])[0])
 
 
-class RecordingWriter(DataSourceWriter):
-    """Writes each partition's rows, in their order, as one recording; parts sort by number."""
+class Written(WriterCommitMessage):
+    """A task's part under its temporary name, and the name it is to have."""
+
+    def __init__(self, staged: str, name: str):
+        self.staged, self.name = staged, name
+
+
+class PartWriter(DataSourceWriter):
+    """Writes each partition's rows, in their order, as one file; parts sort by number.
+
+    Tasks write under names of their own attempt, so a retry or a twin never touches another's file. Parts get their
+    names when all are whole; if the job fails, what was written goes.
+    """
+
+    suffix = ".tpc"
 
     def __init__(self, options):
         self.path = options["path"]
 
-    def write(self, rows) -> WriterCommitMessage:
+    def _system(self):
         from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
+    def bytes_of(self, row) -> bytes:
+        if row.rec_type == CORRUPT:
+            return b""
+        head = struct.pack(HEADER, MAGIC, row.rec_type, row.endpoint or 0, row.pkt_index or 0, row.submit_seq or 0, row.status or 0, row.req_len or 0, row.actual_len or 0)
+        return head + (bytes(row.payload) if row.rec_type in (DATA, SESSION) and row.payload else b"")
+
+    def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        system, name = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        system, name = self._system()
+        task = TaskContext.get()
+        final = f"part-{task.partitionId():05d}{self.suffix}"
+        staged = f"_attempt-{task.taskAttemptId()}-{final}"
         system.create_dir(name)
-        with system.open_output_stream(f"{name}/part-{TaskContext.get().partitionId():05d}.tpc") as out:
+        with system.open_output_stream(f"{name}/{staged}") as out:
             for r in rows:
-                if r.rec_type == CORRUPT:
-                    continue
-                out.write(struct.pack(HEADER, MAGIC, r.rec_type, r.endpoint or 0, r.pkt_index or 0, r.submit_seq or 0, r.status or 0, r.req_len or 0, r.actual_len or 0))
-                if r.rec_type in (DATA, SESSION) and r.payload:
-                    out.write(bytes(r.payload))
-        return WriterCommitMessage()
+                out.write(self.bytes_of(r))
+        return Written(staged, final)
+
+    def commit(self, messages) -> None:
+        system, name = self._system()
+        for m in messages:
+            if m is not None:
+                system.move(f"{name}/{m.staged}", f"{name}/{m.name}")
+
+    def abort(self, messages) -> None:
+        system, name = self._system()
+        for m in messages:
+            if m is not None:
+                system.delete_file(f"{name}/{m.staged}")
+
+
+class RecordingWriter(PartWriter):
+    """Records with their headers."""
+
+
+class PayloadWriter(PartWriter):
+    """Payloads alone, one after the other: pictures or samples as plain bytes."""
+
+    suffix = ".raw"
+
+    def bytes_of(self, row) -> bytes:
+        return bytes(row.payload) if row.payload else b""
+
+
+class Payload(DataSource):
+    """format("payload"), to write only: the column payload of each row, in order. Option path."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "payload"
+
+    def schema(self) -> str:
+        return "payload binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return PayloadWriter(self.options)
 
 
 class Recording(DataSource):
@@ -281,3 +360,4 @@ def register(spark) -> None:
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(Recording)
+    spark.dataSource.register(Payload)

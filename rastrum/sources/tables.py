@@ -53,8 +53,9 @@ def decision_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_decision_log(df: DataFrame, path: str) -> None:
+    """Writes a new log; one that is there already stays, and an error says so."""
     infinite = [F.when(F.col(c) == float("inf"), "inf").otherwise(F.col(c).cast("string")).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-    df.select(*infinite).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
+    df.select(*infinite).write.mode("errorifexists").csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
 _REPLAY = {
@@ -75,8 +76,19 @@ def replay_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def newest_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the newest file under a path: line, file."""
+def publish(spark: SparkSession, staged: str, target: str) -> None:
+    """Gives a finished file or folder its name in one step; fails, and leaves both as they are, if the name is taken."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, goal = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(target)
+    system = goal.getFileSystem(conf)
+    if system.exists(goal):
+        raise FileExistsError(target)
+    if not system.rename(source, goal):
+        raise OSError(f"{staged} can't be renamed to {target}")
+
+
+def newest_log(spark: SparkSession, path: str, holding: str = "") -> DataFrame:
+    """Lines of the newest file under a path that holds a text: line, file."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"))
-    newest = lines.agg(F.max_by("file", F.struct("at", "file")).alias("newest"))
+    newest = lines.where(F.col("line").contains(holding)).agg(F.max_by("file", F.struct("at", "file")).alias("newest"))
     return lines.join(F.broadcast(newest), F.col("file") == F.col("newest")).select("line", "file")
