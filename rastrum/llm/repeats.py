@@ -11,20 +11,24 @@ id for each window, go back to the chunk, which knows where its own copies are.
 ever holds a group of copies, and every document's text stays in its chunk.
 
 Construction. A shard's pieces are a collection of short strings whose Burrows-Wheeler
-transform is built column by column: each round inserts, for every string, its next symbol from the
-right, at the place that the symbol's rank among those already there gives (counting
-sort of the transform; the new transform is written in one sequential pass). Suffixes
-come out in order, neighbours' common prefixes are compared up to LENGTH, and the windows
-of each class take the smallest id of any. Pieces equal as a whole are one string there;
+transform and common prefixes are built column by column: each round inserts, for every string, its next
+symbol from the right, at the place that the symbol's rank among those already there gives (counting
+sort of the transform; the new transform is written in one sequential pass). What the new suffix shares
+with its neighbours is one symbol more than the least common prefix between the rows that they extend, so
+the prefixes are carried through the rounds, up to LENGTH. At the end a class is a run of rows whose prefix
+is LENGTH long, and its windows take the smallest id of any. Pieces equal as a whole are one string there;
 where a hash has a single string left, its windows are one class each, and no order is needed.
 
 Whole documents as columns would need a round for each byte of the longest, each over all
 files; pieces bound the rounds by MOST_WINDOWS + LENGTH. A block of strings is small enough
 to keep its transform in memory in place of external files; what is external is Spark's
-shuffle between the steps.
+shuffle between the steps. A chunk sends a row to each shard that it has hashes for, so rows are
+at most as many as hashes, however many chunks and shards there are.
 
 Null texts are empty; rows with a null id keep all their bytes and lend none; repeated
-rows with one id aren't earlier than each other. Lone rows come out once for each row in.
+rows with one id aren't earlier than each other. Lone rows come out once for each row in. Extra
+columns, whatever their names, are left out; no documents give no rows. A text is cut into pieces as a
+whole: a very long one takes some fifty bytes a byte while that lasts.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_shard, checkpoint_dir, chunks, mix64, packed, unpacked
+from .common import by_shard, checkpoint_dir, chunks, mix64, packed, steady, unpacked
 
 LENGTH, M = 50, 20
 MOST_WINDOWS = 64
@@ -201,47 +205,65 @@ def _sent(shards: int):
     return run
 
 
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes of a collection in order (string, offset), by inserting one symbol of each string a round."""
+def suffix_order(strings: list[bytes], longest: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes of a collection in order (string, offset) and what each shares with the one before it, up to `longest`.
+
+    One symbol of each string is inserted a round, and the common prefixes with it.
+    """
     n, lens = len(strings), np.array([len(s) for s in strings])
     text = np.zeros((n, lens.max() + 1), np.uint8)
     for i, s in enumerate(strings):
         # UTF-8 has no byte over 0xF4: 0 is free for the end.
         text[i, : len(s)] = np.frombuffer(s, np.uint8) + 1
     bwt = text[np.arange(n), lens - 1]
-    name = np.arange(n) << 16 | lens
+    name, shared = np.arange(n) << 16 | lens, np.zeros(n, np.uint8)
     row = np.arange(n)
     for j in range(1, int(lens.max()) + 1):
         act = np.flatnonzero(lens >= j)
+        order = np.argsort(bwt, kind="stable")
         rank = np.empty(len(bwt), np.int64)
-        rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-        place = n + rank[row[act]] - np.count_nonzero(bwt == 0)
+        rank[order] = np.arange(len(bwt))
+        mine, at = row[act], rank[row[act]]
+        place = n + at - np.count_nonzero(bwt == 0)
+        # Rows with the same symbol are extended to neighbours that share it and all that the rows between have in common.
+        symbols = np.concatenate([[0], bwt[order], [0]])
+        before, after = symbols[at] == bwt[mine], symbols[at + 2] == bwt[mine]
+        with_before = np.zeros(len(act), np.uint8)
+        with_before[before] = _extended(shared, order[at[before] - 1], mine[before], longest)
+        with_after = _extended(shared, mine[after], order[at[after] + 1], longest)
         old = np.ones(len(bwt) + len(act), bool)
         old[place] = False
-        wider, names = np.empty(len(old), np.uint8), np.empty(len(old), np.int64)
-        wider[old], names[old] = bwt, name
-        before = lens[act] - j - 1
-        wider[place] = np.where(before >= 0, text[act, before], 0)
+        wider, names, common = np.empty(len(old), np.uint8), np.empty(len(old), np.int64), np.empty(len(old), np.uint8)
+        wider[old], names[old], common[old] = bwt, name, shared
+        preceding = lens[act] - j - 1
+        wider[place] = np.where(preceding >= 0, text[act, preceding], 0)
         names[place] = act << 16 | (lens[act] - j)
-        bwt, name, row[act] = wider, names, place
-    return name >> 16, name & 0xFFFF
+        common[place] = with_before
+        common[place[after] + 1] = with_after
+        bwt, name, shared, row[act] = wider, names, common, place
+    return name >> 16, name & 0xFFFF, shared
+
+
+def _extended(shared: np.ndarray, first: np.ndarray, last: np.ndarray, longest: int) -> np.ndarray:
+    """1 and the least of shared over (first, last] for each pair of rows, `longest` at most."""
+    if not len(first):
+        return np.zeros(0, np.uint8)
+    # Every other segment is a range that is asked for; the one past the end stands for its last row.
+    bounds = np.stack([first + 1, last + 1], axis=1).ravel()
+    least = np.minimum.reduceat(np.append(shared, np.uint8(255)), bounds)[::2]
+    return np.minimum(least.astype(np.int64) + 1, longest).astype(np.uint8)
 
 
 def least_ids(strings: list[bytes], low: np.ndarray) -> np.ndarray:
     """For each window of LENGTH bytes of each string, in order, the smallest of the ids whose strings hold that window."""
-    sid, off = suffix_order(strings)
+    sid, off, shared = suffix_order(strings)
     lens = np.array([len(s) for s in strings])
-    keep = lens[sid] - off >= LENGTH
+    keep = np.flatnonzero(lens[sid] - off >= LENGTH)
+    # What neighbours among the windows share is the least of what lies between them.
+    common = np.minimum.reduceat(shared[keep[0] + 1 :], keep[:-1] - keep[0]) if len(keep) > 1 else np.zeros(0, np.uint8)
     sid, off = sid[keep], off[keep]
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    at = (np.cumsum(lens) - lens)[sid] + off
-    # Common prefixes of neighbours, up to LENGTH: a class ends where one is shorter.
-    same = np.ones(len(at) - 1, bool)
-    for k in range(LENGTH):
-        left = np.flatnonzero(same)
-        same[left] = flat[at[left] + k] == flat[at[left + 1] + k]
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    of = np.repeat(np.minimum.reduceat(low[sid], first), np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(np.concatenate([[True], common < LENGTH]))
+    of = np.repeat(np.minimum.reduceat(low[sid], first), np.diff(np.append(first, len(sid))))
     windows = lens - LENGTH + 1
     out = np.empty(windows.sum(), np.int64)
     out[(np.cumsum(windows) - windows)[sid] + off] = of
@@ -354,7 +376,7 @@ def remove_repeats(docs: DataFrame, *, with_spans: bool = False, shard_bytes: in
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the removed byte spans): one row for each row of docs."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = steady(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(24, -(-size // shard_bytes))
     asked = docs.mapInArrow(_asked(shards), "chunk string, shard long, hashes binary, many binary")
