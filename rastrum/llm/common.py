@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import hashlib
 import io
@@ -118,6 +119,18 @@ def steady(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most this many rows at a time in what is computed inside: for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows of narrow columns that may be broadcast, in some MB.
 SMALL_ROWS = 50_000
 
@@ -169,9 +182,11 @@ def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a default is set only where none is, as in tests."""
+    """The shared folder the cluster names; a default only on one machine, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", "") or "/tmp/checkpoints/rastrum"
-        sc.setCheckpointDir(named)
+        named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints/rastrum")
     return sc._jsc.sc().getCheckpointDir().get()

@@ -71,7 +71,7 @@ def _rules(host: str, path: str, what: str) -> str:
 
 
 _LOWER = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
-_SUFFIXES = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)
+_SECOND = "|".join(url_filter.SECOND)
 _STRENGTH = "coalesce(greatest(1.0, least(1000.0, sum(n * prior * (1 - prior)) / greatest(1e-6, sum(n * (bad / n - prior) * (bad / n - prior))) - 1)), 1.0)"
 _SHRUNK = "(prior * s + bad) / (s + n) AS mean, s + n AS w"
 
@@ -80,7 +80,7 @@ WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 t AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM u),
 l AS (SELECT *, regexp_extract(site, '([^.]+\\.[^.]+)$', 1) AS last2 FROM t),
-x AS (SELECT *, CASE WHEN last2 IN ({_SUFFIXES}) THEN last2 ELSE regexp_extract(site, '([^.]*)$', 1) END AS suffix FROM l),
+x AS (SELECT *, CASE WHEN regexp_matches(last2, '^({_SECOND})\\.[a-z][a-z]$') THEN last2 ELSE regexp_extract(site, '([^.]*)$', 1) END AS suffix FROM l),
 d0 AS (SELECT *, CASE WHEN last2 = suffix THEN regexp_extract(site, '([^.]+\\.[^.]+\\.[^.]+)$', 1) ELSE last2 END AS dom FROM x),
 urls AS (SELECT page_id, host, path, site, suffix, CASE WHEN dom = '' THEN site ELSE dom END AS domain FROM d0),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 OR toxic = 0 THEN 0 END) AS bad FROM labels GROUP BY doc_id),

@@ -10,9 +10,15 @@ spread of rates between groups (method of moments). A url is blocked if the post
 mean of its host's rate of bad pages, less `z` posterior standard deviations, is `bound`
 or more; hosts without labels have their domain's or suffix's posterior as their own.
 
+Suffixes. Without a table of its own, a host's suffix is its last label, or its last two if they are
+a country's (two letters) and one of the names under which countries register (SECOND). A
+list of public suffixes (of up to four labels; wildcards aren't known) may be given in its place: it is compared by a hash set
+in each task, so it may hold MOST_SUFFIXES.
+
 Null urls and urls without "://" have an empty host and path, fit no rule and are
 allowed. Repeated pages and hosts are judged each; a page with several labels counts
-once, as bad if any of them says so; null labels say nothing.
+once, as bad if any of them says so; null labels say nothing, nor do labels of a null id or pages without an id, which are judged all the
+same. Extra columns, whatever their names, are not read. No pages give no rows, no labels leave all to the rules.
 """
 
 from __future__ import annotations
@@ -20,12 +26,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir
+from .common import checkpoint_dir, small
 
 #: Action, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Public suffixes of two labels that are told from registered domains; the last label is one otherwise.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Second labels under which countries let domains be registered.
+SECOND = ("ac", "co", "com", "edu", "gob", "go", "gov", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "sch")
+MOST_SUFFIXES = 50_000
 Z, BOUND = 1.64, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,17 +48,24 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
 
-def domain_columns(df: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+def domain_columns(df: DataFrame, suffixes=None) -> DataFrame:
     """Adds site (the host without user and port), domain and suffix to a table with host."""
-    two = "^.*?([^.]+\\.[^.]+)$"
     site = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
-    last2 = F.regexp_extract("site", two, 1)
-    suffix = F.when(last2.isin(*suffixes), last2).otherwise(F.regexp_extract("site", "([^.]*)$", 1))
-    return (
-        df.withColumn("site", site).withColumn("suffix", suffix)
-        .withColumn("domain", F.when(last2 == F.col("suffix"), F.regexp_extract("site", "([^.]+\\.[^.]+\\.[^.]+)$", 1)).otherwise(last2))
-        .withColumn("domain", F.when(F.col("domain") == "", F.col("site")).otherwise(F.col("domain")))
-    )
+    last = lambda n: F.regexp_extract("site", r"([^.]+(?:\.[^.]+){%d})$" % (n - 1), 1)
+    suffix = F.regexp_extract("site", "([^.]*)$", 1)
+    if suffixes is None:
+        suffix = F.when(last(2).rlike(f"^(?:{'|'.join(SECOND)})\\.[a-z]{{2}}$"), last(2)).otherwise(suffix)
+    else:
+        known = list(suffixes)
+        if len(known) > MOST_SUFFIXES:
+            raise ValueError(f"over {MOST_SUFFIXES} suffixes")
+        for n in (2, 3, 4):
+            some = [x for x in known if x.count(".") == n - 1]
+            suffix = F.when(last(n).isin(*some), last(n)).otherwise(suffix) if some else suffix
+    # A label more than the suffix has.
+    labels = F.size(F.split("suffix", r"\."))
+    domain = F.when(labels == 1, last(2)).when(labels == 2, last(3)).when(labels == 3, last(4)).otherwise(last(5))
+    return df.withColumn("site", site).withColumn("suffix", suffix).withColumn("domain", domain).withColumn("domain", F.when(F.col("domain") == "", F.col("site")).otherwise(F.col("domain")))
 
 
 def rule_column(rules=RULES) -> tuple:
@@ -96,21 +110,22 @@ def reputation(outcomes: DataFrame) -> list[DataFrame]:
     return [shrunk(hosts, strength(hosts)), domains, suffixes]
 
 
-def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, suffixes=SUFFIXES, z: float = Z, bound: float = BOUND) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, suffixes=None, z: float = Z, bound: float = BOUND) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages.
 
     labels: doc_id (the page's id), quality, toxic; a page is bad if its quality is 0 or it is toxic.
     """
     urls = domain_columns(parsed(pages), suffixes)
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when((F.col("quality") == 1) | (F.col("toxic") == 0), 0)
-    marks = labels.groupBy("doc_id").agg(F.max(bad).alias("bad")).where("bad IS NOT NULL")
-    seen = urls.where("site <> ''").select("page_id", "site", "domain", "suffix").dropDuplicates(["page_id", "site"])
-    outcomes = seen.join(marks, seen["page_id"] == marks["doc_id"]).select("site", "domain", "suffix", "bad")
+    marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad")).where("bad IS NOT NULL")
+    # Labelled pages alone are told apart: one outcome for a page and site, however often it is listed.
+    outcomes = urls.where("site <> ''").select("page_id", "site", "domain", "suffix").join(marks, "page_id").dropDuplicates(["page_id", "site"]).select("site", "domain", "suffix", "bad")
     # A verdict for each distinct host, so that a host with a third of all pages is one row here.
     hosts = urls.where("site <> ''").select("host", "site", "domain", "suffix").distinct()
     for key, level in zip(("site", "domain", "suffix"), reputation(outcomes), strict=True):
         hosts = hosts.join(level.select(key, (F.col("mean") - z * F.col("sd") >= bound).alias(f"bad_{key}")), key, "left")
     blocked = hosts.where(F.coalesce("bad_site", "bad_domain", "bad_suffix")).select(F.col("host").alias("__host")).distinct()
     rule, action = rule_column(rules)
-    out = urls.join(blocked, urls["host"] == blocked["__host"], "left")
+    # Few hosts go to every task; otherwise the join may split a host with very many pages.
+    out = urls.join(small(blocked.checkpoint()), urls["host"] == F.col("__host"), "left")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("__host").isNotNull(), "block").otherwise("allow")).alias("verdict"))

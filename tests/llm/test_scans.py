@@ -168,6 +168,23 @@ def test_lexing_takes_time_in_proportion(part):
     assert time.perf_counter() - began < 5
 
 
+def test_suffixes_part_registrants(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.com.cn", "x.gov.uk:80", "y.z.example.com", "com", "q.p.blog.host.io", "u@m.me.de")], "host string")
+    of = lambda df: {r.host: (r.domain, r.suffix) for r in df.collect()}
+    assert of(url_filter.domain_columns(hosts)) == {"a.b.com.cn": ("b.com.cn", "com.cn"), "x.gov.uk:80": ("x.gov.uk", "gov.uk"), "y.z.example.com": ("example.com", "com"), "com": ("com", "com"), "q.p.blog.host.io": ("host.io", "io"), "u@m.me.de": ("m.me.de", "me.de")}
+    given = of(url_filter.domain_columns(hosts, ["blog.host.io", "cn"]))
+    assert given["q.p.blog.host.io"] == ("p.blog.host.io", "blog.host.io") and given["a.b.com.cn"] == ("com.cn", "cn")
+    with pytest.raises(ValueError):
+        url_filter.domain_columns(hosts, map(str, range(url_filter.MOST_SUFFIXES + 1)))
+
+
+def test_pages_without_ids_are_judged(spark):
+    pages = spark.createDataFrame([(None, "https://bad.io/a"), (None, "https://bad.io/a"), *((i, "https://bad.io/x") for i in range(30))], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(30)] + [(None, 1, 0)] + [(100 + i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    got = url_filter.judge(pages, labels).collect()
+    assert len(got) == 32 and all(r.verdict == "block" for r in got) and sum(r.page_id is None for r in got) == 2
+
+
 def test_url_rules_and_reputation(spark):
     urls = [
         "https://a.example.com/en/1", "http://EXAMPLE.com/en/7x", "https://b.com/EN/", "x://n.net/de/8?q", "https://example.net/de/81#f", "ftp://q.example.net/de/9",
