@@ -50,13 +50,24 @@ STAGES = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is a table in the shared checkpoint folder."""
+def run(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """All stages over the documents; each result is a table in the shared checkpoint folder until the next one is written.
+
+    root: a folder for the results. Stages that are finished there are not run again, so a run that was
+    broken off goes on under the same root; the tables stay.
+    """
     import uuid
 
-    root = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    keep, root = root is not None, root or f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        done = folder(f"{root}/{k}/_SUCCESS")
+        if not (keep and done.getFileSystem(conf).exists(done)):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{root}/{k}")
+        if k and not keep:
+            before = folder(f"{root}/{k - 1}")
+            before.getFileSystem(conf).delete(before, True)
         docs = spark.read.parquet(f"{root}/{k}")
     return docs
