@@ -213,9 +213,7 @@ def rolling_vote(df: DataFrame, keys: list[str], order: str, vote: str, rows: in
             winner = table.get(winner, table.get(None, winner))
         return t.select(columns).append_column("__winner", pa.array(out, pa.int64()))
 
-    chain = F.lit(0) if not keys else None
-    grouped = blocks.groupBy(*keys) if keys else blocks.groupBy(chain)
-    before = grouped.applyInArrow(chained, f"{ddl}, __winner bigint")
+    before = _by(blocks, keys).applyInArrow(chained, f"{ddl}, __winner bigint")
     marked = voting.join(before, _same_keys(voting, before, columns)).select(*[voting[c] for c in voting.columns], "__winner")
 
     def counted(key: tuple, t: pa.Table) -> pa.Table:
@@ -238,6 +236,11 @@ def rolling_vote(df: DataFrame, keys: list[str], order: str, vote: str, rows: in
     return seen.select(*df.columns, F.coalesce("winner", F.lit(0)).alias("winner"), F.coalesce("winner_count", F.lit(0)).alias("winner_count"))
 
 
+def _by(df: DataFrame, keys: list[str]):
+    """Rows of each stream; all of them, where there is one stream only."""
+    return df.groupBy(*keys) if keys else df.withColumn("__all", F.lit(0)).groupBy("__all")
+
+
 def _same_keys(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     on = F.lit(True)
     for c in columns:
@@ -379,4 +382,4 @@ def floor_shifts(df: DataFrame, keys: list[str], order: str, late: str, window:
         return t.select([*keys, order]).append_column("shift", shifts).filter(shifts.is_valid())
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys, order).schema.fields)
-    return (least.groupBy(*keys) if keys else least.groupBy(F.lit(0))).applyInArrow(run, f"{ddl}, shift bigint")
+    return _by(least, keys).applyInArrow(run, f"{ddl}, shift bigint")

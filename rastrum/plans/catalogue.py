@@ -571,28 +571,50 @@ def slot_schedule(spark, sf_dir):
     return placement.schedule(frames)
 
 
-@query("""
-SELECT CAST(r_regionkey AS BIGINT) AS ordinal, CASE WHEN r_regionkey < m THEN CAST(r_regionkey + 65533 AS BIGINT) % 65536 END AS counter16, CASE WHEN r_regionkey < m THEN CAST(r_regionkey + 65533 AS BIGINT) END AS counter_extended,
-  CASE WHEN r_regionkey < m THEN 'picture' ELSE 'unframed' END AS kind, CASE WHEN r_regionkey < m THEN 'complete' ELSE 'unframed' END AS transport, CAST(756048 AS BIGINT) AS byte_count, CAST(r_regionkey AS BIGINT) * 756048 AS start_off,
-  r_regionkey < m AS eligible FROM region, (SELECT max(r_regionkey) AS m FROM region)""")
+_FRAMED = """
+WITH u AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, (row_number() OVER (ORDER BY s_suppkey) - 1 + 65530) AS extended FROM supplier),
+n AS (SELECT *, 756048 - CASE WHEN k % 7 = 3 THEN 1440 * (k % 20 + 1) ELSE 0 END AS nbytes, k % 11 = 4 AS damaged, max(i) OVER () AS top FROM u),
+o AS (SELECT *, sum(nbytes) OVER (ORDER BY i) - nbytes AS start_off FROM n)
+"""
+
+
+@query(_FRAMED + """SELECT i AS ordinal, CASE WHEN i < top THEN extended % 65536 END AS counter16, CASE WHEN i < top THEN extended END AS counter_extended, CASE WHEN i < top THEN 'picture' ELSE 'unframed' END AS kind,
+  CASE WHEN i = top AND NOT damaged THEN 'unframed' WHEN damaged THEN 'hole' WHEN nbytes < 756048 THEN 'short' ELSE 'complete' END AS transport, nbytes AS byte_count, CAST(start_off AS BIGINT) AS start_off, i < top AND NOT damaged AND nbytes = 756048 AS eligible FROM o""")
 def framing_units(spark, sf_dir):
-    """A recording of one whole unit a region, in packets, framed again; the last has no successor and stays unframed."""
-    counter = F.pmod(F.col("r_regionkey") + 65533, F.lit(65536))
-    text = F.concat(F.lit("0000FFFF"), F.lpad(F.hex(counter % 256), 2, "0"), F.lpad(F.hex(F.floor(counter / 256)), 2, "0"), F.lit("01E8" + "00" * 40), F.repeat(F.lit("8010"), 378_000))
-    units = table(spark, sf_dir, "region").select("r_regionkey", F.unhex(text).alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
-    seq = F.col("r_regionkey").cast("long") * 50 + F.col("i")
-    payload = F.expr("substring(unit, i * 15360 + 1, 15360)")
-    records = units.select(
-        F.lit("regions").alias("capture_id"), (seq * 15384).alias("file_off"), F.lit(0).cast("byte").alias("rec_type"), F.lit(0x83).cast("short").alias("endpoint"), F.lit(0).alias("pkt_index"),
-        seq.alias("submit_seq"), F.lit(0).cast("long").alias("status"), F.lit(15360).cast("long").alias("req_len"), F.octet_length(payload).cast("long").alias("actual_len"), payload.alias("payload"),
+    """A recording with a unit for each supplier, framed again: some are cut short, in some the host lost a packet; counters wrap, and an audio resync goes before each unit.
+
+    The last unit has no successor and stays unframed.
+    """
+    from pyspark.sql import Window
+
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    # A row a unit, in order: what a recorder would have done.
+    u = s.select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("i"))
+    k, counter = F.col("s_suppkey"), F.pmod(F.col("i") + 65530, F.lit(65536))
+    u = u.withColumn("n", F.lit(756_048) - F.when(k % 7 == 3, 1440 * (k % 20 + 1)).otherwise(0)).withColumn("lost", k % 11 == 4)
+    number = F.concat(F.lpad(F.hex(counter % 256), 2, "0"), F.lpad(F.hex(F.floor(counter / 256)), 2, "0"))
+    head = F.unhex(F.concat(F.lit("0000FFFF"), number, F.lit("01E8" + "00" * 40)))
+    sound = F.unhex(F.concat(F.lit("DeckLinkAudioResyncT".encode().hex()), number, F.lit("656E" + "010203040506" + "00" * 18)))
+    # Place 0 is the audio, 1 to 50 the video's packets, with a loss before the 30th where there is one.
+    parts = F.filter(F.sequence(F.lit(0), F.lit(51)), lambda p: (p != 51) | F.col("lost"))
+    each = u.withColumn("head", head).withColumn("sound", sound).withColumn("p", F.explode(parts))
+    p, first = F.col("p"), (F.col("p") - 1) * 15_360
+    video = F.when(p == 1, F.concat("head", F.unhex(F.repeat(F.lit("8010"), 7656)))).otherwise(F.unhex(F.expr("repeat('8010', cast(greatest(least(n - (p - 1) * 15360, 15360), 0) / 2 as int))")))
+    payload = F.when(p == 0, F.col("sound")).when((p <= 50) & (first < F.col("n")), video)
+    place = F.when(p == 51, 29.5).otherwise(p)
+    at = (F.col("i") * 1_000_000 + place * 15_400).cast("long")
+    records = each.where(payload.isNotNull() | (p == 51)).select(
+        F.lit("suppliers").alias("capture_id"), at.alias("file_off"), F.when(p == 51, 1).otherwise(0).cast("byte").alias("rec_type"), F.when(p == 0, 0x84).otherwise(0x83).cast("short").alias("endpoint"), F.lit(0).alias("pkt_index"),
+        F.when(p == 0, F.col("i")).otherwise(F.col("i") * 50 + p).alias("submit_seq"), F.lit(0).cast("long").alias("status"), F.lit(15360).cast("long").alias("req_len"), F.octet_length(payload).cast("long").alias("actual_len"), payload.alias("payload"),
     )
-    # A source reads records in order; here they are put in order.
-    got = framing.video_units(records.orderBy("file_off"))
+    # A source reads records in order; here they are put in order. Numbers of a stream's transfers must follow each other.
+    seq = F.row_number().over(Window.partitionBy("endpoint", "rec_type").orderBy("file_off"))
+    got = framing.video_units(records.withColumn("submit_seq", seq.cast("long")).orderBy("file_off"))
     return got.select("ordinal", F.col("counter16").cast("long").alias("counter16"), "counter_extended", "kind", "transport", "byte_count", "start_off", "eligible")
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue_recordings  # noqa: F401  (registers its queries)
+    from . import catalogue_pictures, catalogue_recordings  # noqa: F401  (they register their queries)
 
     return {"flagship": endpoint_stats} | {k: f for k, (f, _) in FOUND.items()}
 

@@ -37,9 +37,13 @@ def test_spans_and_the_stall():
     assert ("junk", 100_000, 100_480) in cut and raster.stall(cut) == (100_000, 200_100)
 
 
-def test_drift_shifts():
+def shifts(spark, late):
+    df = spark.createDataFrame([("e", i, x) for i, x in enumerate(late)], "endpoint string, n long, late long").repartition(3)
+    return [r.n for r in sequence.floor_shifts(df, ["endpoint"], "n", "late").orderBy("n").collect()]
+
+
+def test_floor_shifts(spark):
     steady = [1000 + i % 7 for i in range(160)]
-    assert sequence.drift_shifts(steady) == []
-    moved = steady + [3_000_000 + x for x in steady]
-    assert [i for i, _ in sequence.drift_shifts(moved)] == [160 + 47]
-    assert sequence.drift_shifts(steady + [3_000_000] * 32 + steady) == []
+    assert shifts(spark, steady) == []
+    assert shifts(spark, steady + [3_000_000 + x for x in steady]) == [160 + 47]
+    assert shifts(spark, steady + [3_000_000] * 32 + steady) == []
