@@ -614,7 +614,7 @@ def framing_units(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue_pictures, catalogue_recordings  # noqa: F401  (they register their queries)
+    from . import catalogue_extracts, catalogue_pictures, catalogue_recordings  # noqa: F401  (they register their queries)
 
     return {"flagship": endpoint_stats} | {k: f for k, (f, _) in FOUND.items()}
 
