@@ -7,16 +7,19 @@ other lines are compared without the white space about them.
 
 Fingerprints are the least line hash (the last of equal ones) of each window of RUN lines,
 so any two copies of a run select the same ones; shorter runs of many words are windows
-of their own. Fingerprints
-that occur twice or more are joined by position. A match is extended both ways by whole
-windows: each fingerprint carries 128-bit digests of the windows that selected it; those
-that also start earlier are marked, and marked windows that touch make up the run. What is
+of their own. Only fingerprints that two places hold are joined by position: each carries 128-bit
+digests of the windows that selected it, and a window that also starts earlier is a match of a later
+place with that window's first. Matches are extended both ways a line at a time: a match goes on
+by a line exactly if the next window, one line further, is a match too, so marked windows
+that overlap or touch make up the run, however long it is. What is
 compared is each digest's first place, kept by a partial minimum, so a line or passage that
-many documents share is never paired with itself.
+many documents share is never paired with itself, and its copies may have as many contexts as they like.
 
 Null texts stay null, empty ones empty; rows without an id are left as they are. Rows
 that share an id and a text are copies that stay, as neither is earlier; a text that loses all
-its lines becomes empty.
+its lines becomes empty. without_repeats carries all columns; a column called n_chars is taken for the
+text's length and set anew, names that begin with two underscores are its own. No documents give no rows. A text's lines are
+held as a whole.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ special tokens are no longer than the margin, and from p on both chunks see the
 text, so their tokens agree from there. Where no boundary is shared (one word longer
 than the overlap), the left chunk is widened, at last to the end of the text.
 
-Nulls count as empty texts; an empty text has no tokens.
+Nulls count as empty texts; an empty text has no tokens. Each row is counted by itself: null and
+repeated ids and repeated rows stay as they are; extra columns, whatever their names, are left
+out; no documents give no rows. Memory is that of a chunk's tokens, but for a single word longer
+than the overlap, for which the left chunk grows to hold it.
 """
 
 from __future__ import annotations

@@ -86,6 +86,17 @@ def test_spliced_counts_equal_whole_counts():
         assert token_counts.spliced_count(tok, text, chunk=97 + k, overlap=40) == len(tok.encode(text, add_special_tokens=False).ids)
 
 
+def test_counts_of_odd_tables(spark):
+    rows = [(1, "a b", 7), (1, "a b", 7), (None, "a b", 8), (2, None, None), (2, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long").withColumn("over_limit", F.lit("x"))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(df, BYTE).collect())
+    assert got == [("1", 3, 2, False), ("1", 3, 2, False), ("2", 0, 0, False), ("2", 0, 0, False), ("None", 3, 2, False)]
+    assert token_counts.count_tokens(df.limit(0), BYTE).count() == 0
+    one = "x" * 50_000
+    tok = Tokenizer.from_file(BYTE)
+    assert token_counts.spliced_count(tok, one + " y", 1000, 50) == len(tok.encode(one + " y", add_special_tokens=False).ids)
+
+
 def test_counts_of_documents(spark):
     texts = [*TEXTS, "word " * 30_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
