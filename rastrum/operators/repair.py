@@ -1,8 +1,9 @@
-"""Unit repair: a unit that one stall of the device made too long or too short, put back on its grid.
+"""Unit repair: a unit that one stall or one held sample of the device made too long or too short, put back on its grid.
 
 What the stall wrote (zeros, repeated words) says where the error is; padding after it, which begins on row
 boundaries of its own, says how far the rest is displaced. Lost rows are rebuilt from the lines beside them, the
-other field's, or the unit before. Anything that doesn't fit this model is declined with the reason.
+other field's, or the unit before. A unit too long without a stall may hold one sample for as long as its length is wrong. A run of two units whose
+middle marker a stall has overwritten is taken apart there, and each is repaired by itself. Anything that doesn't fit this model is declined with the reason.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .raster import HEADER, PADDING, ROWS, spans, stall
 #: Bytes of a whole unit and of a row, how far from whole a unit may be, how far padding may lie off the length error, rows that may be rebuilt.
 UNIT, ROW = 756_048, 1440
 MOST_DELTA, GRID_SLACK, MOST_ROWS = 64 * ROW, 16, 200
+#: Fixed value: least zeros that are a stall's.
+JUNK = 16
 MARKER = b"\x00\x00\xff\xff"
 OWN_PADDING = {261: 270, 523: 525}
 FIELD2 = 262
@@ -49,6 +52,71 @@ def displacement(found: list[tuple[str, int, int]], lost: tuple[int, int], n: in
     return min(fits, key=lambda d: (abs(d - delta), d))
 
 
+def between_grids(found: list[tuple[str, int, int]], delta: int, n: int) -> tuple[int, int]:
+    """Where a length error must lie: behind the last padding that is in place, before the first that is displaced by it."""
+    at = lambda s, d: divmod(s - d - HEADER, ROW)
+    paddings = [(s, e) for kind, s, e in found if kind == "padding"]
+    low = max([HEADER, *(e for s, e in paddings if at(s, 0)[1] == 0 and at(s, 0)[0] in (0, *OWN_PADDING))])
+    high = min([n, *(s for s, _ in paddings if s >= low and at(s, delta)[1] == 0 and at(s, delta)[0] in OWN_PADDING)])
+    return low, high
+
+
+#: Fixed value: least bytes of a held sample that picture doesn't hold by chance.
+HELD_LEAST = 64
+
+
+def held_insert(unit: bytes, low: int, high: int, need: int) -> tuple[int, int] | None:
+    """The only stretch in [low, high) where each of the four bytes of a pixel pair stays within one code for `need` bytes or more: where it begins and `need` bytes on."""
+    width = need // 4 + (need % 4 > 0)
+    if need < HELD_LEAST or high - low < need:
+        return None
+    a = np.frombuffer(unit, np.uint8)[low:high].astype(np.int16)
+    # Greatest and least value of every fourth byte over `width` of them, from each byte on: by doubling.
+    top = least = a
+    span = 1
+    while span < width:
+        step = min(span, width - span) * 4
+        top, least = np.maximum(top[:-step], top[step:]), np.minimum(least[:-step], least[step:])
+        span += step // 4
+    # The four bytes of a pair hold together.
+    calm = (top - least) <= 1
+    begins = np.flatnonzero(calm[:-3] & calm[1:-2] & calm[2:-1] & calm[3:]) if len(calm) > 3 else np.zeros(0, np.int64)
+    # Stretches that don't overlap would leave it open which one is the insert.
+    if not len(begins) or begins[-1] - begins[0] >= need:
+        return None
+    return low + int(begins[0]), low + int(begins[0]) + need
+
+
+def repair_pair(run: bytes, before: bytes | None = None) -> list[tuple[str, bytes | None, dict]]:
+    """Both units of a run of two whose middle marker a stall overwrote: status, whole unit and what was lost, of each.
+
+    That stall leaves at most a unit behind it and at most a unit and the slack before it. If several fit, only what lies before the
+    first is surely the first unit's, and the second is declined.
+    """
+    n = len(run)
+    info = {"delta": n - 2 * UNIT, "grid_offset": 0, "lost_bytes": 0, "rebuilt_rows": 0}
+    declined = lambda why: (why, None, info)
+    if run[:4] != MARKER or run[6:8] != b"\x01\xe8" or n < 2 * HEADER:
+        return [declined("not_a_unit")] * 2
+    if abs(info["delta"]) > MOST_DELTA:
+        return [declined("delta_range")] * 2
+    junk = [(s, e) for kind, s, e in spans(run) if kind == "junk"]
+    fits = [(s, e) for s, e in junk if s <= UNIT + MOST_DELTA and n - e + HEADER + JUNK <= UNIT]
+    if not fits:
+        return [declined("no_fill")] * 2
+    # A unit whose rest a stall took: its bytes, and zeros up to the length it would have had.
+    cut = lambda data: data + bytes(max(UNIT, len(data)) + JUNK - len(data))
+    if len(fits) > 1:
+        start = junk[0][0]
+        return [repair(cut(run[:start]), before) if start <= UNIT else declined("second_event"), declined("second_event")]
+    (start, end), = fits
+    first = repair(cut(run[:start]), before)
+    counter = (int.from_bytes(run[4:6], "little") + 1) % 65536
+    head = MARKER + counter.to_bytes(2, "little") + run[6:HEADER]
+    second = repair(head + bytes(UNIT + JUNK - HEADER - (n - end)) + run[end:], first[1])
+    return [first, second]
+
+
 def repair(unit: bytes, before: bytes | None = None) -> tuple[str, bytes | None, dict]:
     """Status, the whole unit (None if declined), and what was lost and rebuilt."""
     n = len(unit)
@@ -60,7 +128,8 @@ def repair(unit: bytes, before: bytes | None = None) -> tuple[str, bytes | None,
     found = spans(unit)
     lost = stall(found)
     if lost is None:
-        return "no_fill", None, info
+        held = held_insert(unit, *between_grids(found, info["delta"], n), info["delta"])
+        return ("no_fill", None, info) if held is None else ("ok", unit[: held[0]] + unit[held[1] :], info)
     at = unit.find(MARKER, 4)
     while 0 <= at:
         if not lost[0] - 3 <= at < lost[1]:
@@ -139,8 +208,10 @@ def repaired(units: DataFrame, keys: list[str], counter: str = "counter_extended
         for r in pdf.sort_values(counter).to_dict("records"):
             data = bytes(r[unit])
             if len(data) != UNIT and not r["back"]:
-                status, fixed, info = repair(data, before if at is not None and r[counter] == at + 1 else None)
-                out.append({n: r[n] for n in names} | {"status": status, "unit": fixed} | info)
+                old = before if at is not None and r[counter] == at + 1 else None
+                # A run of two is two rows, the second one counter on.
+                for k, (status, fixed, info) in enumerate(repair_pair(data, old) if len(data) > UNIT + MOST_DELTA else [repair(data, old)]):
+                    out.append({n: r[n] for n in names} | {counter: r[counter] + k, "status": status, "unit": fixed} | info)
             before, at = data, r[counter]
         return pd.DataFrame(out, columns=[*names, *(c.split(" ")[0] for c in REPAIR.split(", "))])
 

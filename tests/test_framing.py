@@ -44,3 +44,14 @@ def test_plain_stream_is_whole(load):
     assert [(u.counter_extended, u.transport, u.eligible) for u in units[:-1]] == [(c, "complete", True) for c in range(5)]
     resyncs = framing.audio_records(p, framing.positions(p))["resyncs"].orderBy("pos").collect()
     assert [r.sample_ordinal for r in resyncs] == [0, 1602, 3203, 4805, 6406, 8007]
+
+
+def test_an_epoch_begins_anew(load, spark):
+    blob = fx.plain(units=3)
+    p = load(blob + blob)
+    starts = spark.createDataFrame([(p.first().capture_id, len(blob), 2)], "capture_id string, file_off long, epoch long")
+    units = framing.video_units_by_epoch(p, starts).orderBy("epoch", "ordinal").collect()
+    once = framing.video_units(load(blob)).orderBy("ordinal").collect()
+    rows = lambda us: [(u.ordinal, u.counter_extended, u.transport, u.start_off, u.byte_count) for u in us]
+    assert rows([u for u in units if u.epoch == 1]) == rows([u for u in units if u.epoch == 2]) == rows(once)
+    assert {u.capture_id for u in units} == {p.first().capture_id}

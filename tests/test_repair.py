@@ -58,3 +58,32 @@ def test_tables_of_units(spark, whole):
     df = spark.createDataFrame([("a", 46, whole), ("a", 47, whole), ("a", 48, long), ("a", 49, whole[:-L])], "capture_id string, counter_extended long, unit binary")
     got = {r.counter_extended: r for r in repair.repaired(df, ["capture_id"]).collect()}
     assert {c: r.status for c, r in got.items()} == {48: "ok", 49: "no_fill"} and bytes(got[48].unit) == whole and got[49].unit is None
+
+
+def test_a_held_sample_comes_out(whole):
+    p = H + 300 * L + 8
+    long = whole[:p] + whole[p - 4 : p] * 400 + whole[p:]
+    status, fixed, info = repair.repair(long)
+    assert status == "ok" and len(fixed) == U and (rows(fixed) != rows(whole)).sum() <= 8
+    # A picture that holds as long elsewhere leaves it open.
+    flat = bytearray(long)
+    q = H + 400 * L
+    flat[q : q + 1700] = whole[q : q + 4] * 425
+    assert repair.repair(bytes(flat))[0] == "no_fill"
+
+
+def test_a_run_of_two_is_taken_apart(whole):
+    second = bytearray(whole)
+    second[4:6] = (6).to_bytes(2, "little")
+    # The stall takes the end of the first, the marker, and the top of the second.
+    run = whole[: U - 3 * L] + bytes(20 * L) + bytes(second[20 * L :])
+    (s1, one, _), (s2, two, _) = repair.repair_pair(run)
+    assert (s1, s2) == ("ok", "ok") and one[:8] == whole[:8] and two[:8] == bytes(second[:8])
+    assert (rows(one)[:510] == rows(whole)[:510]).all() and (rows(two)[20:] == rows(whole)[20:]).all()
+    assert repair.repair_pair(whole + bytes(second))[0][0] == "no_fill" and repair.repair_pair(whole[:1000])[0][0] == "delta_range"
+
+
+def test_a_run_of_two_is_two_rows(spark, whole):
+    run = whole[: U - 3 * L] + bytes(20 * L) + whole[20 * L :]
+    df = spark.createDataFrame([("a", 5, run)], "capture_id string, counter_extended long, unit binary")
+    assert [(r.counter_extended, r.status) for r in repair.repaired(df, ["capture_id"]).orderBy("counter_extended").collect()] == [(5, "ok"), (6, "ok")]
