@@ -552,9 +552,29 @@ def log_summary(spark, sf_dir):
     return audit.log_summary(decision_rows(spark, sf_dir), ["user_id"]).select("user_id", "rows", "published", "host_lost", "ring_drops")
 
 
-@query()
+_SIGNAL_STEP = """
+SELECT user_id, k, event_id, label1 AS label, lc1 AS lc, seen AS cand, cn1 AS cn, cc1 AS cc, source1 AS source, CASE WHEN blind THEN 'unknown' ELSE target1 END AS target, tn2 AS tn, acq1 AS acq,
+  uns3 OR (serial2 = 0 AND source1 = 'unknown') AS uns, CASE WHEN serial2 = 0 AND source1 = 'unknown' THEN 1 ELSE interval2 END AS ival, CASE WHEN serial2 = 0 AND source1 = 'unknown' THEN 1 ELSE serial2 END AS serial, begins, broken,
+  CASE WHEN source1 = 'unknown' THEN 0.0 WHEN target1 = source1 THEN least(1.0, tn2 / needed) ELSE 0.5 END AS trust
+FROM (SELECT *, uns1 OR changed AS uns2, CASE WHEN changed AND NOT pictured THEN (uns1 OR changed) AND target1 = 'unknown' ELSE uns1 OR changed END AS uns3, CASE WHEN changed AND NOT uns1 THEN serial1 + 1 ELSE serial1 END AS serial2, CASE WHEN changed AND NOT uns1 THEN serial1 + 1 ELSE interval1 END AS interval2,
+    changed AND pictured AND (target1 = 'reacquiring' OR NOT acq) AS begins, CASE WHEN changed THEN pictured ELSE acq END AS acq1, CASE WHEN blind THEN 1 ELSE tn1 END AS tn2, CASE WHEN blind THEN 'unknown' WHEN hit THEN target1 ELSE source END AS source1
+  FROM (SELECT *, hit AND target1 <> source AS changed, target1 IN ('reacquiring', 'present') AS pictured
+    FROM (SELECT *, NOT blind AND (seen = 'subblack_mute' OR tn1 >= needed) AS hit, CASE WHEN blind OR seen IN ('no_signal', 'subblack_mute') OR seen = label OR cn1 >= run THEN seen ELSE label END AS label1, CASE WHEN blind OR seen IN ('no_signal', 'subblack_mute') OR seen = label THEN sure WHEN cn1 >= run THEN cc1 ELSE lc END AS lc1
+      FROM (SELECT *, CASE WHEN target1 = target THEN tn + 1 ELSE 1 END AS tn1, CASE target1 WHEN 'muted' THEN 3 WHEN 'no_input' THEN 3 WHEN 'unknown' THEN 2 ELSE 5 END AS needed
+        FROM (SELECT r.user_id, e.k, e.event_id, r.label, r.lc, r.source, r.target, r.tn, r.acq, e.blind, e.broken, e.seen, e.sure, r.uns OR e.blind AS uns1, CASE WHEN e.blind AND NOT r.uns THEN r.serial + 1 ELSE r.serial END AS serial1, CASE WHEN e.blind AND NOT r.uns THEN r.serial + 1 ELSE r.ival END AS interval1,
+            CASE WHEN e.seen = r.cand THEN r.cn + 1 ELSE 1 END AS cn1, CASE WHEN e.seen = r.cand THEN least(r.cc, e.sure) ELSE e.sure END AS cc1, CASE e.seen WHEN 'program' THEN 5 WHEN 'snow' THEN 5 WHEN 'gray_mute' THEN 3 WHEN 'subblack_mute' THEN 3 ELSE 2 END AS run,
+            CASE e.seen WHEN 'program' THEN 'present' WHEN 'snow' THEN 'reacquiring' WHEN 'gray_mute' THEN 'muted' WHEN 'subblack_mute' THEN 'muted' ELSE 'unknown' END AS target1
+          FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)))))"""
+
+
+@query("""
+WITH RECURSIVE u AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id % 37 = 0 AS broken, CASE event_type WHEN 'click' THEN 'program' WHEN 'view' THEN 'program' WHEN 'purchase' THEN 'snow' WHEN 'signup' THEN 'gray_mute' WHEN 'error' THEN 'subblack_mute' END AS named, least(value / 100, 1.0) AS conf FROM events),
+e AS (SELECT user_id, event_id, k, broken, broken OR named IS NULL AS blind, CASE WHEN broken OR named IS NULL THEN 'unknown' ELSE named END AS seen, CASE WHEN broken OR named IS NULL THEN 0.0 ELSE coalesce(conf, 0.0) END AS sure FROM u),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, 'unknown' AS label, CAST(0 AS DOUBLE) AS lc, '' AS cand, 0 AS cn, CAST(0 AS DOUBLE) AS cc, 'unknown' AS source, '' AS target, 0 AS tn, FALSE AS acq, FALSE AS uns, CAST(0 AS BIGINT) AS ival, CAST(0 AS BIGINT) AS serial, FALSE AS begins, FALSE AS broken, CAST(0 AS DOUBLE) AS trust FROM e
+UNION ALL """ + _SIGNAL_STEP + """)
+SELECT user_id, event_id, label AS appearance, lc AS appearance_confidence, source, trust AS source_confidence, begins AS begins_segment, broken AS discontinuity, uns AS unsettled, ival AS interval FROM r WHERE k > 0""")
 def signal_states(spark, sf_dir):
-    """Confirmed appearance and source of each user's events; sequential, so tested on its own."""
+    """Confirmed appearance and source of each user's events."""
     names = {"click": "program", "view": "program", "purchase": "snow", "signup": "gray_mute", "error": "subblack_mute"}
     label = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()])
     e = events(spark, sf_dir, "user_id", "event_id", "event_type", "value")
@@ -562,9 +582,21 @@ def signal_states(spark, sf_dir):
     return signal.classify(units, ["user_id"], "event_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT user_id, event_id, event_id // 128 AS c, CASE WHEN event_id % 11 <> 0 THEN event_id // 128 * 8008 + event_id % 5 * 700 END AS known, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+b AS (SELECT *, last_value(CASE WHEN known IS NOT NULL OR k = 1 THEN k END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k) AS base FROM v),
+e AS (SELECT b.user_id, b.k, b.c, coalesce(b.known, coalesce(a.known, a.c * 8008) + (b.c - a.c) * 8008) AS t FROM b JOIN b a ON a.user_id = b.user_id AND a.k = b.base),
+r AS (SELECT user_id, k, t, t AS start, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS ps, CAST(0 AS BIGINT) AS poff, k AS pi FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, t, start, s, CASE WHEN put THEN s ELSE ps END, CASE WHEN put THEN off ELSE poff END, CASE WHEN put THEN k ELSE pi END
+  FROM (SELECT *, s > ps OR (s = ps AND off < poff) AS put FROM (SELECT *, abs(t - start - s * 8008) AS off
+    FROM (SELECT user_id, k, t, start, ps, poff, pi, CAST(greatest(0, CASE WHEN abs(n - x) <= 0.75 THEN n ELSE round_even(x, 0) END) AS BIGINT) AS s
+      FROM (SELECT e.user_id, e.k, e.t, r.start, r.ps, r.poff, r.pi, (e.t - r.start) / 8008.0 AS x, r.s + round_even((e.t - r.t) / 8008.0, 0) AS n FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))))),
+f AS (SELECT user_id, ps AS slot, arg_max(pi, k) AS pi, arg_max(poff, k) AS off FROM r GROUP BY user_id, ps),
+g AS (SELECT f.user_id, f.slot, f.off, e.c, lag(f.slot) OVER w AS before, lag(e.c) OVER w AS cb FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.pi WINDOW w AS (PARTITION BY f.user_id ORDER BY f.slot))
+SELECT CAST(user_id AS VARCHAR) AS capture_id, slot, 'frame' AS kind, c AS counter, CAST(off AS BIGINT) AS off_ticks FROM g
+UNION ALL SELECT CAST(user_id AS VARCHAR), unnest(range(before + 1, slot)), CASE WHEN slot - before = 2 THEN 'held' ELSE 'fill' END, CASE WHEN slot - before = 2 THEN cb END, NULL FROM g WHERE slot > before + 1""")
 def slot_schedule(spark, sf_dir):
-    """Output slots of each user's events on a clock of their own; sequential, so tested on its own."""
+    """Output slots of each user's events on a clock of their own."""
     e = events(spark, sf_dir, "user_id", "event_id")
     i, unit = F.col("event_id"), F.expr("event_id div 128")
     frames = e.select(F.col("user_id").cast("string").alias("capture_id"), i.alias("line"), unit.alias("counter"), (unit * 1001).alias("pts_num"), F.lit(30000).alias("pts_den"), (i % 11 != 0).cast("int").alias("audio_pts_known"), (unit * 8008 + i % 5 * 700).alias("audio_pts_num"))
