@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import hashlib
 import io
 import sys
@@ -119,6 +120,12 @@ def steady(df: DataFrame) -> DataFrame:
     return df
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let the files of shuffles that nothing refers to any more go now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Python workers get at most this many rows at a time in what is computed inside: for rows that may be long."""
