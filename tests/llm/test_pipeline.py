@@ -148,6 +148,17 @@ def test_classifier_of_rows_with_clashing_names_and_ids(spark, sf_dir):
     assert all(r.keep == plain[r.doc_id].keep for r in got if r.doc_id is not None)
 
 
+def test_rows_go_by_their_own_texts(spark, sf_dir):
+    """Null ids, and one id with a text that stays and one that goes."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    junk, plain = docs.where("doc_id = 250").first().text, docs.where("doc_id = 8").first().text
+    more = spark.createDataFrame([(None, junk, "en"), (None, plain, "en"), (900, junk, "en"), (900, plain, "en"), (901, plain, "en"), (901, plain, "en")], "doc_id long, text string, lang string")
+    every = docs.select("doc_id", "text", "lang").unionByName(more)
+    kept = quality.accepted(every, labels)
+    assert sorted(str(r.doc_id) for r in kept.where("doc_id IS NULL OR doc_id >= 900").collect()) == ["900", "901", "901", "None"]
+    assert {r.text for r in kept.where("doc_id IS NULL OR doc_id >= 900").collect()} == {plain} and kept.columns == every.columns
+
+
 def test_classifier_of_nothing(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert quality.classify(docs.limit(0), labels).count() == 0
