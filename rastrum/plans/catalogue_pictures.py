@@ -13,7 +13,7 @@ from ..operators import pictures, placement, raster, stats
 from .catalogue import query, table
 
 
-def _pictures(key: str):
+def made(key: str):
     """A raster for each key: a pattern that drifts with the key, padding rows as the device writes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +30,7 @@ def _pictures(key: str):
 
 
 def units(spark, sf_dir: str, name: str, key: str) -> DataFrame:
-    return table(spark, sf_dir, name).select(F.col(key).cast("long").alias(key)).mapInArrow(_pictures(key), "capture_id string, counter_extended long, unit binary")
+    return table(spark, sf_dir, name).select(F.col(key).cast("long").alias(key)).mapInArrow(made(key), "capture_id string, counter_extended long, unit binary")
 
 
 _LUMA = "CASE WHEN r < 7 OR (r >= 261 AND r < 270) OR r >= 523 THEN 16 ELSE (r * 7 + x * 3 + u * u * 5 + (r * x * (u + 1)) % 31) % 220 + 10 END"

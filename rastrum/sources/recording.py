@@ -9,12 +9,13 @@ as rows of rec_type -1 (their offset and number), in FAILFAST mode as an error.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed values of the format.
 HEADER, HEADER_BYTES = "<IBBHIIII", 24
@@ -27,6 +28,8 @@ CORRUPT = -1
 DEPTH = 16
 SPLIT_BYTES = 128 << 20
 READ_BYTES = 4 << 20
+#: What is read to follow headers alone.
+HEAD_BYTES = 4096
 BATCH_BYTES = 8 << 20
 
 SCHEMA = (
@@ -56,19 +59,19 @@ def payload_bytes(header: tuple) -> int:
 class Bytes:
     """Random access to a file in any store that pyarrow's file systems reach, with a window of bytes kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, window: int | None = None):
         from pyarrow import fs
 
         system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         self.size = system.get_file_info(name).size
         self.file = system.open_input_file(name)
-        self.at, self.held = 0, b""
+        self.at, self.held, self.window = 0, b"", window or READ_BYTES
 
     def get(self, at: int, n: int) -> bytes:
         """n bytes from `at`; fewer at the end."""
         if not (self.at <= at and at + n <= self.at + len(self.held)):
             self.file.seek(at)
-            self.at, self.held = at, self.file.read(max(n, READ_BYTES))
+            self.at, self.held = at, self.file.read(max(n, self.window))
         return self.held[at - self.at : at - self.at + n]
 
     def find(self, pattern: bytes, at: int, most: int) -> int:
@@ -186,67 +189,72 @@ class RecordingReader(DataSourceReader):
         return size
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        name, rows, size = os.path.basename(split.path), [], 0
+        found = read_records(split.path, split.start, split.end, self.with_payload, self.strict, split.first, self.stop)
         if split.first and split.start and split.start < split.end:
             # Bytes that the alignment has passed over.
-            rows.append((name, 0, CORRUPT, None, None, None, None, None, split.start, None))
-        for r in read_records(split.path, split.start, split.end, self.with_payload, self.strict, split.first, self.stop):
-            if self.drop and r[1] == CORRUPT:
-                continue
-            rows.append((name, *r))
-            size += len(r[-1] or b"") + 64
-            if size >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
-        if rows:
+            found = itertools.chain([(0, CORRUPT, None, None, None, None, None, split.start, None)], found)
+        return _batches(os.path.basename(split.path), (r for r in found if not (self.drop and r[1] == CORRUPT)))
+
+
+def _batches(name: str, records: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for r in records:
+        rows.append((name, *r))
+        size += len(r[-1] or b"") + 64
+        if size >= BATCH_BYTES:
             yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-class GrowingReader(SimpleDataSourceStreamReader):
-    """A recording that is still written: the offset is the byte after the last whole record."""
+class GrowingReader(DataSourceStreamReader):
+    """A recording that is still written: the offset is the byte after the last whole record.
+
+    The driver follows headers alone, up to maxRecordsPerTrigger of them; payload is read by the tasks, in splits.
+    """
 
     MOST = 4096
 
     def __init__(self, options):
         self.path = options["path"]
         self.most = int(options.get("maxRecordsPerTrigger", self.MOST))
+        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.with_payload = options.get("payload", "true").lower() == "true"
+        self.known: int | None = None  # as far as records are known to be whole; unknown after a restart
 
     def initialOffset(self) -> dict:
+        self.known = 0
         return {"at": 0}
 
-    def _rows(self, at: int, until: int | None) -> tuple[list[tuple], int]:
-        data, rows, name = Bytes(self.path), [], os.path.basename(self.path)
-        while len(rows) < self.most or until is not None:
-            if until is not None and at >= until:
-                break
+    def latestOffset(self) -> dict:
+        data, at, n = Bytes(self.path, HEAD_BYTES), self.known or 0, 0
+        # After a restart all that is there by now is one batch: where the last one ended isn't told.
+        while self.known is None or n < self.most:
             raw = data.get(at, HEADER_BYTES)
             if len(raw) < HEADER_BYTES:
                 break
             header = struct.unpack(HEADER, raw)
-            if not plausible(header):
-                to = find_boundary(data, at + 1)
-                if to < 0:
-                    break  # the rest may yet become a record
-                rows.append((name, at, CORRUPT, None, None, None, None, None, to - at, None))
-                at = to
-                continue
-            size = payload_bytes(header)
-            if at + HEADER_BYTES + size > data.size:
-                break
-            rows.append((name, at, *header[1:], data.get(at + HEADER_BYTES, size) if size else None))
-            at += HEADER_BYTES + size
-        return rows, at
+            after = at + HEADER_BYTES + payload_bytes(header) if plausible(header) else find_boundary(data, at + 1)
+            if not at < after <= data.size:
+                break  # the rest may yet become a record
+            at, n = after, n + 1
+        self.known = at
+        return {"at": at}
 
-    def read(self, start: dict):
-        rows, at = self._rows(start["at"], None)
-        return iter(rows), {"at": at}
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        self.known = max(self.known or 0, end["at"])
+        return [Split(self.path, a, min(end["at"], a + self.split), a == start["at"]) for a in range(start["at"], end["at"], self.split)]
+
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        return _batches(os.path.basename(split.path), read_records(split.path, split.start, split.end, self.with_payload, False, split.first))
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._rows(start["at"], end["at"])[0])
+    def commit(self, end: dict) -> None:
+        """Nothing is held for a batch."""
 
 
 class Written(WriterCommitMessage):
@@ -345,7 +353,7 @@ class Recording(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return RecordingReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return GrowingReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
