@@ -38,7 +38,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,9 +191,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _slices(texts):
             part = texts[a:b]
             h, of, weight = weighted(*shingles(part))
-            some = pa.array(np.bincount(of, minlength=len(part)) > 0)
+            some = (np.bincount(of, minlength=len(part)) > 0).tolist()
             keys = band_keys(dart_signatures(h, of, len(part), BANDS * ROWS, weight)).astype(np.int64)
-            digest = pc.if_else(some, batch.column(1).slice(a, b - a), pa.scalar(None, pa.binary()))
+            digest = pa.array([d if s else None for d, s in zip(batch.column(1).slice(a, b - a).to_pylist(), some, strict=True)], pa.binary())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), digest, bands], names=["doc_id", "digest", "bands"])
     release_memory()

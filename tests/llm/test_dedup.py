@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,10 +41,13 @@ def test_repeats_equal_brute_force(spark):
 
 def test_suffix_order_is_the_order_of_all_suffixes():
     rng = random.Random(1)
-    strings = [bytes(rng.choice(b"ab\x00z") for _ in range(rng.randrange(1, 30))) for _ in range(80)]
-    sid, off = repeats.suffix_order(strings)
-    got = [strings[s][o:] for s, o in zip(sid.tolist(), off.tolist(), strict=True)]
-    assert got == sorted(got) and len(got) == sum(len(s) + 1 for s in strings)
+    for n, longest in ((80, 50), (30, 3), (1, 50), (2, 255)):
+        strings = [bytes(rng.choice(b"ab\x00z" if n > 2 else b"a") for _ in range(rng.randrange(1, 30))) for _ in range(n)]
+        sid, off, shared = repeats.suffix_order(strings, longest)
+        got = [strings[s][o:] for s, o in zip(sid.tolist(), off.tolist(), strict=True)]
+        assert got == sorted(got) and len(got) == sum(len(s) + 1 for s in strings)
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert shared.tolist() == [0, *(min(longest, common(a, b)) for a, b in zip(got, got[1:]))]
 
 
 def near_classes(rows, words):
@@ -93,6 +97,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0 and near_dup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_several_slices(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(40)) if i % 5 else "") for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows]
+    df = spark.createDataFrame(rows, DDL).repartition(2)
+    monkeypatch.setattr(near_dup, "SLICE_BYTES", 1000)
+    # In this process, as workers don't see the patch.
+    batches = pa.Table.from_pylist([{"doc_id": i, "digest": hashlib.md5(t.encode()).digest(), "text": t} for i, t in rows]).to_batches()
+    got = pa.Table.from_batches(near_dup._signed(iter(batches))).to_pylist()
+    assert [(r["doc_id"], r["digest"] is None, len(r["bands"])) for r in got] == [(i, not t, near_dup.BANDS) for i, t in rows]
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == {i: i if not t else i % 1000 for i, t in rows}
+
+
 def test_near_duplicates_without_unique_ids(spark):
     """Null ids, an id with two texts, repeated rows: the same result in any order and partitioning."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
