@@ -15,7 +15,7 @@ hundred darts a document. Exact comparisons number an element's occurrences: the
 of two weighted sets is that of the plain sets of (shingle, occurrence).
 
 Banded join. Documents with equal texts are one node first. Nodes that share a band of
-ROWS coordinates meet: each band's smallest node leads it, followers are held against the
+ROWS coordinates meet: of each band the node that meets the most others leads it, followers are held against the
 leader by their exact sets, and the links make components. Nodes of bands that still
 hold several components meet once more by an exact prefix filter (prefix_keys): only sets
 that share a rare shingle early enough can be near copies. There the least altered nodes lead
@@ -313,9 +313,13 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Numbers that only this table gives out: read from its files ever after.
     nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    crowds = banded.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("most")).where("lead < most").select("band", "lead")
+    crowds = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     # All that is left below are bands with two nodes or more.
-    held = banded.join(crowds, "band").select("band", "node", "lead").checkpoint()
+    met = banded.join(crowds, "band").checkpoint()
+    # A text that others were made from meets more of them than its altered copies do each other.
+    meets = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    leads = met.join(meets, "node").groupBy("band").agg(F.max(F.struct("meets", (-F.col("node")).alias("back"))).alias("lead"))
+    held = met.select("band", "node").join(leads.select("band", (-F.col("lead.back")).alias("lead")), "band").checkpoint()
     wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("__digest"), "low")
     texts = docs.join(wanted, (docs["digest"] == wanted["__digest"]) & docs["doc_id"].eqNullSafe(wanted["low"])).select("node", "text")
     sets = texts.mapInArrow(_sets, "node long, size long, set binary").dropDuplicates(["node"]).checkpoint()
