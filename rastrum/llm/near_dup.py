@@ -41,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, checkpoint_dir, mix64, release_memory, worker_cache
+from .common import WORD_TABLE, arrow_rows, checkpoint_dir, mix64, release_memory, worker_cache
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 SLICE_BYTES = 1_000_000
+#: Texts, and pairs of sets, that a worker gets at a time.
+TEXT_ROWS, PAIR_ROWS = 1000, 256
 #: What a text with words holds.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Nodes of a key that lead in the first round; each later round has eight times as many.
@@ -309,7 +311,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, digest), nodes (node, digest, low: smallest id) for each text with words, and the classes of nodes with an edge."""
     checkpoint_dir(docs.sparkSession)
     docs = _digested(docs)
-    signed = docs.mapInArrow(_signed, "doc_id long, digest binary, bands array<long>").checkpoint()
+    spark = docs.sparkSession
+    with arrow_rows(spark, TEXT_ROWS):
+        signed = docs.mapInArrow(_signed, "doc_id long, digest binary, bands array<long>").checkpoint()
     # Numbers that only this table gives out: read from its files ever after.
     nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     banded = nodes.select("node", F.explode("bands").alias("band"))
@@ -322,16 +326,19 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     held = met.select("band", "node").join(leads.select("band", (-F.col("lead.back")).alias("lead")), "band").checkpoint()
     wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("__digest"), "low")
     texts = docs.join(wanted, (docs["digest"] == wanted["__digest"]) & docs["doc_id"].eqNullSafe(wanted["low"])).select("node", "text")
-    sets = texts.mapInArrow(_sets, "node long, size long, set binary").dropDuplicates(["node"]).checkpoint()
+    with arrow_rows(spark, TEXT_ROWS):
+        sets = texts.mapInArrow(_sets, "node long, size long, set binary").dropDuplicates(["node"]).checkpoint()
     tried = held.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    edges = links(able(tried, sets), sets).checkpoint()
+    with arrow_rows(spark, PAIR_ROWS):
+        edges = links(able(tried, sets), sets).checkpoint()
     classes = components(edges)
     # Bands that hold several components: their nodes meet again by the rarest shingles they share.
     of = lambda c: classes.select("node", F.col("class").alias(c))
     now = held.join(of("class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     split = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
     left = now.join(split, "band").select("node").distinct()
-    held = prefix_keys(sets.join(left, "node", "left_semi")).checkpoint()
+    with arrow_rows(spark, PAIR_ROWS):
+        held = prefix_keys(sets.join(left, "node", "left_semi")).checkpoint()
     # The first key that two sets share leaves room for their overlap in both.
     room = F.least("ra", "rb") * (1 + THRESHOLD) >= (F.col("sa") + F.col("sb")) * (THRESHOLD - 1e-9)
     side = lambda df, c: df.select("band", F.col("node").alias(c), F.col("place").alias(f"p{c}"), F.col("class").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("rest").alias(f"r{c}"), "n")
@@ -350,7 +357,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         lead = side(rest, "a").where((F.col("pa") >= first) & (F.col("pa") < first + leads)).drop("n")
         pairs = lead.join(side(rest, "b").drop("n"), "band").where((F.col("pb") > F.col("pa")) & (F.col("ca") != F.col("cb")) & room).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
         first, leads = first + leads, leads * 8
-        more = None if pairs.isEmpty() else links(pairs, sets).checkpoint()
+        with arrow_rows(spark, PAIR_ROWS):
+            more = None if pairs.isEmpty() else links(pairs, sets).checkpoint()
         if more is not None and not more.isEmpty():
             edges, placed = edges.union(more), None
             classes = components(edges)
