@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, arrow_rows, checkpoint_dir, mix64, release_memory, worker_cache
+from .common import WORD_TABLE, arrow_rows, checkpoint_dir, forget_shuffles, mix64, release_memory, worker_cache
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -253,9 +253,19 @@ def components(edges: DataFrame) -> DataFrame:
         after = low.join(jump, "new").select("node", F.least("new", "far").alias("class"), (F.least("new", "far") != F.col("old")).alias("moved")).checkpoint()
         now = after.select("node", "class")
         if after.where("moved").isEmpty():
+            forget_shuffles(edges.sparkSession)
             return now
 
 
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes after some more links: only classes that a link joins, and nodes that had none, are looked at."""
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("class").alias(f"c{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(between)
+    known = classes.join(merged.select(F.col("node").alias("class"), F.col("class").alias("into")), "class", "left").select("node", F.coalesce("into", "class").alias("class"))
+    return known.unionByName(merged.join(classes.select("node"), "node", "left_anti")).checkpoint()
+
+
 def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, size, shingle: a row for each shingle of each set."""
     for batch in batches:
@@ -328,6 +338,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = docs.join(wanted, (docs["digest"] == wanted["__digest"]) & docs["doc_id"].eqNullSafe(wanted["low"])).select("node", "text")
     with arrow_rows(spark, TEXT_ROWS):
         sets = texts.mapInArrow(_sets, "node long, size long, set binary").dropDuplicates(["node"]).checkpoint()
+    forget_shuffles(spark)
     tried = held.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     with arrow_rows(spark, PAIR_ROWS):
         edges = links(able(tried, sets), sets).checkpoint()
@@ -339,6 +350,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     left = now.join(split, "band").select("node").distinct()
     with arrow_rows(spark, PAIR_ROWS):
         held = prefix_keys(sets.join(left, "node", "left_semi")).checkpoint()
+    forget_shuffles(spark)
     # The first key that two sets share leaves room for their overlap in both.
     room = F.least("ra", "rb") * (1 + THRESHOLD) >= (F.col("sa") + F.col("sb")) * (THRESHOLD - 1e-9)
     side = lambda df, c: df.select("band", F.col("node").alias(c), F.col("place").alias(f"p{c}"), F.col("class").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("rest").alias(f"r{c}"), "n")
@@ -360,8 +372,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         with arrow_rows(spark, PAIR_ROWS):
             more = None if pairs.isEmpty() else links(pairs, sets).checkpoint()
         if more is not None and not more.isEmpty():
-            edges, placed = edges.union(more), None
-            classes = components(edges)
+            classes, placed = joined_classes(classes, more), None
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
