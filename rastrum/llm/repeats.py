@@ -226,8 +226,9 @@ def suffix_order(strings: list[bytes], longest: int = LENGTH) -> tuple[np.ndarra
         mine, at = row[act], rank[row[act]]
         place = n + at - np.count_nonzero(bwt == 0)
         # Rows with the same symbol are extended to neighbours that share it and all that the rows between have in common.
-        symbols = np.concatenate([[0], bwt[order], [0]])
-        before, after = symbols[at] == bwt[mine], symbols[at + 2] == bwt[mine]
+        mark, end = bwt[mine], len(bwt) - 1
+        before = (at > 0) & (bwt[order[np.maximum(at - 1, 0)]] == mark)
+        after = (at < end) & (bwt[order[np.minimum(at + 1, end)]] == mark)
         with_before = np.zeros(len(act), np.uint8)
         with_before[before] = _extended(shared, order[at[before] - 1], mine[before], longest)
         with_after = _extended(shared, mine[after], order[at[after] + 1], longest)
@@ -248,10 +249,12 @@ def _extended(shared: np.ndarray, first: np.ndarray, last: np.ndarray, longest:
     """1 and the least of shared over (first, last] for each pair of rows, `longest` at most."""
     if not len(first):
         return np.zeros(0, np.uint8)
-    # Every other segment is a range that is asked for; the one past the end stands for its last row.
-    bounds = np.stack([first + 1, last + 1], axis=1).ravel()
-    least = np.minimum.reduceat(np.append(shared, np.uint8(255)), bounds)[::2]
-    return np.minimum(least.astype(np.int64) + 1, longest).astype(np.uint8)
+    # Every other segment is a range that is asked for; in order of the rows those between are short. The last one may end with the table.
+    order = np.argsort(last)
+    bounds = np.stack([first[order] + 1, last[order] + 1], axis=1).ravel()
+    least = np.empty(len(first), np.int64)
+    least[order] = np.minimum.reduceat(shared, bounds[:-1] if bounds[-1] == len(shared) else bounds)[::2]
+    return np.minimum(least + 1, longest).astype(np.uint8)
 
 
 def least_ids(strings: list[bytes], low: np.ndarray) -> np.ndarray:
