@@ -53,6 +53,12 @@ def xor_checksum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x.cast("long")))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x at `digits` decimals by scaling: halves of the scaled double go away from zero. F.round rounds the shortest decimal form, which differs near halves of large values."""
+    scaled = x * float(10**digits)
+    return F.when(F.abs(scaled) == float("inf"), x).otherwise(F.round(scaled) / float(10**digits))
+
+
 def decibels(ratio: Column) -> Column:
     return 20 * F.log10(ratio)
 

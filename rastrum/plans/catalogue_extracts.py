@@ -154,7 +154,7 @@ def log_functions(spark, sf_dir):
     cell = F.when(i % 5 == 0, " ").otherwise(F.concat(F.lit(" "), (i % 7).cast("string"), F.lit("  0.5")))
     return e.select(
         "event_id", F.aggregate(ticks.number_list(cell), F.lit(0.0), lambda a, x: a + x).alias("total"), ticks.run_label(i, i + i % 3).alias("label"), ticks.mode_word([(i % 8, 0), (u % 4, 3), (i % 2, 5)]).alias("mode"),
-        ticks.wrap_count(i * 1_000_000, F.lit(700), 48).alias("wraps"), F.round(ticks.decibels(F.col("value") + 1), 6).alias("db"), F.round(ticks.energy_ratio(u, F.col("value")), 6).alias("ratio"), ticks.clamp(F.col("value") / 60, 0.0, 1.0).alias("share"),
+        ticks.wrap_count(i * 1_000_000, F.lit(700), 48).alias("wraps"), ticks.rounded(ticks.decibels(F.col("value") + 1), 6).alias("db"), ticks.rounded(ticks.energy_ratio(u, F.col("value")), 6).alias("ratio"), ticks.clamp(F.col("value") / 60, 0.0, 1.0).alias("share"),
     )
 
 

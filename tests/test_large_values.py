@@ -16,6 +16,16 @@ def check(spark, folder, name, rows, columns=("event_id", "user_id", "event_type
     compare(catalogue.queries()[name](spark, str(folder)), catalogue.oracle_sql()[name], folder)
 
 
+def test_log_functions_of_large_keys(spark, tmp_path):
+    check(spark, tmp_path, "log_functions", [(59041463, 59000395, "view", 0.81), (59008284, 59001228, "click", 6.31), (3, 0, "view", 0.0), (4, 7, "view", 0.0), (5, 1, "view", 5.12)])
+
+
+def test_rounding_by_scale(spark):
+    values = [59000395 / 0.81, 2.5e-7, 0.1953125, -0.1953125, 1e308, float("inf"), float("-inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(ticks.rounded(F.col("x"), 6)).collect()]
+    assert got == [72839993.827161, 0.0, 0.195313, -0.195313, 1e308, float("inf"), float("-inf"), None]
+
+
 def test_scalar_functions_beyond_99_minutes(spark, tmp_path):
     check(spark, tmp_path, "scalar_functions", [(i, 1, "view", 1.0) for i in (0, 17982, 179820, 179821, 1798201, 5999999)])
     assert [r[0] for r in spark.createDataFrame([(179820,), (5,)], "u long").select(ticks.minutes(F.col("u"))).collect()] == ["99:59.99", "00:00.16"]
