@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,15 +103,16 @@ def names_of(code: Column, names: dict) -> Column:
 
 
 def shortest(x: Column, digits: int) -> Column:
-    """A double with `digits` significant digits and no trailing zeros, as %g writes it: with an exponent below 1e-4 and from 10**digits on."""
-    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
-    power = F.get(parts, F.lit(1)).cast("int")
-    bare = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    scientific = F.concat(bare(F.get(parts, F.lit(0))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    # Decimals behind the point depend on the size, so a literal format won't do.
-    fixed = F.call_function("format_string", F.concat(F.lit("%."), (F.lit(digits - 1) - power).cast("string"), F.lit("f")), x)
-    plain = F.when(x == 0, "0").when((power < -4) | (power >= digits), scientific).otherwise(bare(fixed))
-    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(plain)
+    """A double with `digits` significant digits and no trailing zeros, as %g writes it: of its exact binary value, halves to even.
+
+    Java's formats start from the shortest decimal form and pad it with zeros, so they are wrong from the 16th digit on.
+    """
+
+    @F.arrow_udf("string")
+    def written(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else format(v, f".{digits}g") for v in values.to_pylist()], pa.string())
+
+    return written(x.cast("double"))
 
 
 def ten_bit(code: Column) -> Column:

@@ -29,3 +29,13 @@ def test_rounding_by_scale(spark):
 def test_scalar_functions_beyond_99_minutes(spark, tmp_path):
     check(spark, tmp_path, "scalar_functions", [(i, 1, "view", 1.0) for i in (0, 17982, 179820, 179821, 1798201, 5999999)])
     assert [r[0] for r in spark.createDataFrame([(179820,), (5,)], "u long").select(ticks.minutes(F.col("u"))).collect()] == ["99:59.99", "00:00.16"]
+
+
+def test_text_forms_of_inexact_doubles(spark, tmp_path):
+    check(spark, tmp_path, "text_forms", [(i, 1, "view", v) for i, v in ((23613, 0.3), (23615, 47.15), (5999999, 560.21), (7, -0.0), (8, 0.0), (9, 1e-9))])
+
+
+def test_shortest_is_exact(spark):
+    values = [(2.5, "2"), (3.5, "4"), (0.1, "0.1"), (1e-5, "1e-05"), (float("nan"), "nan"), (float("-inf"), "-inf"), (-0.0, "-0"), (None, None)]
+    got = spark.createDataFrame([(v,) for v, _ in values], "x double").select(ticks.shortest(F.col("x"), 1)).collect()
+    assert [r[0] for r in got] == [w for _, w in values]
