@@ -145,9 +145,9 @@ def find_pattern(packets: DataFrame, endpoint: int, pattern: bytes, look: int) -
     packets must be in reading order inside each partition, as format("tpc") gives them.
     """
     data = packets.where((F.col("rec_type") == DATA) & (F.col("endpoint") == endpoint) & (F.length("payload") > 0)).select("capture_id", "file_off", "payload")
-    found = data.mapInArrow(_finder(pattern, look), _FOUND_DDL)
+    # A row a hit and two a partition are read twice below, the recording once.
+    found = materialised(data.mapInArrow(_finder(pattern, look), _FOUND_DDL))
     hits = found.where("kind = 'hit'").select("capture_id", "file_off", "in_off", "bytes")
-    # Two rows a partition of the recording.
     edges = found.where("kind <> 'hit'").groupBy("capture_id").applyInPandas(_stitch(pattern, look), "capture_id string, file_off long, in_off long, bytes binary")
     return hits.unionByName(edges)
 

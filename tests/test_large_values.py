@@ -1,12 +1,15 @@
 """Queries on keys and values beyond those of the small tables, each beside its SQL."""
 
 import datetime
+import random
+import time
 
 import pandas as pd
 from oracle import compare
 from pyspark.sql import functions as F
 
 from rastrum.functions import ticks
+from rastrum.operators import framing, joins, placement
 from rastrum.plans import catalogue
 
 
@@ -39,3 +42,12 @@ def test_shortest_is_exact(spark):
     values = [(2.5, "2"), (3.5, "4"), (0.1, "0.1"), (1e-5, "1e-05"), (float("nan"), "nan"), (float("-inf"), "-inf"), (-0.0, "-0"), (None, None)]
     got = spark.createDataFrame([(v,) for v, _ in values], "x double").select(ticks.shortest(F.col("x"), 1)).collect()
     assert [r[0] for r in got] == [w for _, w in values]
+
+
+def test_framing_units_moves_no_payload(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(framing, "video_units", lambda records: seen.append(records) or spark.sql("SELECT 0 AS ordinal, 0 AS counter16, 0 AS counter_extended, '' AS kind, '' AS transport, 0 AS byte_count, 0 AS start_off, TRUE AS eligible"))
+    catalogue.queries()["framing_units"](spark, "/root/testdata/sf0.001")
+    above = seen[0]._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[0]
+    # Payloads are made above the explode; nothing there shuffles or sorts.
+    assert "payload" in above and not any(word in above for word in ("Sort ", "Window ", "Repartition"))
