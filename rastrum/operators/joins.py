@@ -142,15 +142,17 @@ def next_unit_pairs(df: DataFrame, keys: list[str], counter: str, columns: list[
 def lost_between(pairs: DataFrame, lost: DataFrame, first: str, second: str, counter16: str) -> DataFrame:
     """Pairs of counters with `lost_between`: whether a listed 16-bit counter lies strictly between them, mod 65536.
 
-    A pair meets only the lost counters of the cells of 256 that its way touches.
+    One does exactly if the next listed counter after the first does: a table of at most 65,536 rows tells how far that is.
     """
-    width = F.pmod(F.col(second) - F.col(first), F.lit(65536))
-    cells = F.transform(F.sequence(F.floor(F.col(first) / 256), F.floor((F.col(first) + width) / 256)), lambda c: F.pmod(c, F.lit(256)))
-    spread = pairs.select(first, second).distinct().withColumn("__w", width).withColumn("__cell", F.explode(F.array_distinct(cells)))
-    gone = lost.select(F.col(counter16).alias("__c"), F.floor(F.col(counter16) / 256).alias("__cell")).distinct()
-    inside = F.pmod(F.col("__c") - F.col(first), F.lit(65536))
-    hit = spread.join(gone, "__cell").where((inside > 0) & (inside < F.col("__w"))).select(first, second).distinct().withColumn("__hit", F.lit(True))
-    return pairs.join(hit, [first, second], "left").withColumn("lost_between", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    turn = F.lit(65536)
+    gone = lost.select(F.pmod(F.col(counter16), turn).cast("long").alias("__c")).where("__c IS NOT NULL").distinct()
+    every = Window.partitionBy(F.lit(0)).orderBy("__c")
+    before = F.coalesce(F.lag("__c").over(every), F.last("__c").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - turn)
+    # A counter that is listed itself is as far from the next as any other; the only one listed is a whole turn from itself.
+    starts = gone.select("__c", before.alias("__b")).select("__c", F.explode(F.sequence("__b", F.col("__c") - 1)).alias("__s"))
+    ahead = starts.select(F.pmod("__s", turn).alias("__from"), (F.col("__c") - F.col("__s")).alias("__ahead"))
+    met = pairs.join(F.broadcast(ahead), F.pmod(pairs[first], turn) == ahead["__from"], "left")
+    return met.select(*pairs.columns, F.coalesce(F.col("__ahead") < F.pmod(F.col(second) - F.col(first), turn), F.lit(False)).alias("lost_between"))
 
 
 def overlay(spans: DataFrame, keys: list[str], start: str, end: str, priority: str, columns: list[str], cell: int = 1 << 20) -> DataFrame:

@@ -51,3 +51,17 @@ def test_framing_units_moves_no_payload(spark, monkeypatch):
     above = seen[0]._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[0]
     # Payloads are made above the explode; nothing there shuffles or sorts.
     assert "payload" in above and not any(word in above for word in ("Sort ", "Window ", "Repartition"))
+
+
+def test_lost_between_of_wide_pairs(spark):
+    rng = random.Random(5)
+    for lost in ([], [7], [0, 65535], [None, 300, 300, 40000], list(range(0, 65536, 997))):
+        pairs = [(a, (a + w) % 65536) for a, w in ((rng.randrange(65536), rng.choice((0, 1, 2, 300, 65535, rng.randrange(65536)))) for _ in range(300))] + [(7, 7), (6, 8), (7, 6), (8, 6), (0, 65535), (None, 3)]
+        got = joins.lost_between(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(c,) for c in lost], "c long"), "a", "b", "c").collect()
+        want = [(a, b, a is not None and any(0 < (c - a) % 65536 < (b - a) % 65536 for c in lost if c is not None)) for a, b in pairs]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    # Wide pairs among many lost counters: every pair met thousands of rows before.
+    start = time.time()
+    wide = spark.range(1_000_000).select((F.col("id") % 65536).alias("a"), ((F.col("id") * 31 + 60000) % 65536).alias("b"))
+    assert joins.lost_between(wide, spark.range(65536).select(F.col("id").alias("c")), "a", "b", "c").where("lost_between").count() > 900_000
+    assert time.time() - start < 60
