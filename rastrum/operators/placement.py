@@ -6,10 +6,14 @@ and in parallel (raster.geometry). One stream (capture and epoch) is one sequent
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .raster import comb_basin
 
@@ -233,8 +237,8 @@ def audio_times(frames: list[dict]) -> list[tuple[int, bool]]:
     return out
 
 
-def place_slots(frames: list[dict], units: list[dict] = (), lost: list[int] | None = None, snap: float = 0.75, longest: int = 15) -> list[dict]:
-    """Output slots in order: kind (frame, held, fill) and the frame's index that fills each.
+def slot_spans(frames: list[dict], units: list[dict] = (), lost: list[int] | None = None, snap: float = 0.75, longest: int = 15) -> Iterator[tuple[int, int, int, int, int | None]]:
+    """Frames that get a slot, in order: slot, distance from its time, frame's index, empty slots before it, and the index of the frame that these repeat (None: they stay empty).
 
     A frame takes the slot after the one before it by the time between them, unless that is over
     `snap` slots from its own time; of frames for one slot the nearer stays, and one for a slot
@@ -242,7 +246,10 @@ def place_slots(frames: list[dict], units: list[dict] = (), lost: list[int] | No
     lies between; 2 to `longest` do if only a loss of lock lies between. lost None: nothing is held.
     """
     gone = sorted({c % 65536 for c in lost or ()})
-    parted = lambda a, b: any(0 < (c - a) % 65536 < (b - a) % 65536 for c in gone)
+
+    def parted(a: int, b: int) -> bool:
+        # The next lost counter after a, if any, is the one that may lie between.
+        return bool(gone) and 0 < (gone[bisect_right(gone, a % 65536) % len(gone)] - a) % 65536 < (b - a) % 65536
 
     def lock_loss(a: dict, b: dict) -> bool:
         span = (b["counter"] - a["counter"]) % 65536
@@ -266,29 +273,48 @@ def place_slots(frames: list[dict], units: list[dict] = (), lost: list[int] | No
             placed.append((s, off, i))
         elif s == placed[-1][0] and off < placed[-1][1]:
             placed[-1] = (s, off, i)
-    out: list[dict] = []
+    behind = -1
     for n, (s, off, i) in enumerate(placed):
-        empty = s - len(out)
-        if empty:
-            a = placed[n - 1][2] if n else None
-            hold = a is not None and lost is not None and (not parted(frames[a]["counter"], frames[i]["counter"]) if empty == 1 else empty <= longest and lock_loss(frames[a], frames[i]))
-            out += [{"slot": len(out) + k, "kind": "held" if hold else "fill", "frame": a if hold else None, "off_ticks": None} for k in range(empty)]
-        out.append({"slot": s, "kind": "frame", "frame": i, "off_ticks": int(off)})
+        empty, behind = s - behind - 1, s
+        a = placed[n - 1][2] if n and empty else None
+        hold = a is not None and lost is not None and (not parted(frames[a]["counter"], frames[i]["counter"]) if empty == 1 else empty <= longest and lock_loss(frames[a], frames[i]))
+        yield s, int(off), i, empty, a if hold else None
+
+
+def place_slots(frames: list[dict], units: list[dict] = (), lost: list[int] | None = None, snap: float = 0.75, longest: int = 15) -> list[dict]:
+    """Output slots in order: kind (frame, held, fill) and the frame's index that fills each."""
+    out: list[dict] = []
+    for s, off, i, empty, held in slot_spans(frames, units, lost, snap, longest):
+        out += [{"slot": k, "kind": "fill" if held is None else "held", "frame": held, "off_ticks": None} for k in range(s - empty, s)]
+        out.append({"slot": s, "kind": "frame", "frame": i, "off_ticks": off})
     return out
 
 
 def schedule(frames: DataFrame, units: DataFrame | None = None, key: str = "capture_id", hold: bool = True) -> DataFrame:
-    """key, slot, kind, counter, off_ticks of each capture's output; frames: a replay's V rows with their line number."""
+    """key, slot, kind, counter, off_ticks of each capture's output; frames: a replay's V rows with their line number.
+
+    A capture's frames are placed in order by one task; the slots between them, which may be many more, are made of a row a frame.
+    """
+    columns = [("name", pa.string()), ("slot", pa.int64()), ("off", pa.int64()), ("counter", pa.int64()), ("empty", pa.int64()), ("held", pa.bool_()), ("repeats", pa.int64())]
 
-    def run(k: tuple, f: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
-        rows = f.sort_values("line").to_dict("records")
-        seen = u.to_dict("records")
-        slots = place_slots(rows, seen, [x["counter"] for x in seen if x["host_lost"]] if hold else None)
-        return pd.DataFrame([{key: k[0], "slot": s["slot"], "kind": s["kind"], "counter": None if s["frame"] is None else rows[s["frame"]]["counter"], "off_ticks": s["off_ticks"]} for s in slots], columns=[key, "slot", "kind", "counter", "off_ticks"]).astype({"counter": "Int64", "off_ticks": "Int64"})
+    def run(k: tuple, f: pa.Table, u: pa.Table) -> pa.Table:
+        rows, seen = sorted(f.to_pylist(), key=lambda r: r["line"]), u.to_pylist()
+        name = k[0].as_py()
+        found = [
+            (name, s, off, rows[i]["counter"], empty, held is not None, None if held is None else rows[held]["counter"])
+            for s, off, i, empty, held in slot_spans(rows, seen, [x["counter"] for x in seen if x["host_lost"]] if hold else None)
+        ]
+        return pa.table({c: pa.array([r[j] for r in found], t) for j, (c, t) in enumerate(columns)})
 
     if units is None:
         units = frames.sparkSession.createDataFrame([], f"{key} string, line long, counter long, format int, kind int, transport int, host_lost int")
-    return frames.groupBy(key).cogroup(units.groupBy(key)).applyInPandas(run, f"{key} string, slot long, kind string, counter long, off_ticks long")
+    spans = frames.groupBy(key).cogroup(units.groupBy(key)).applyInArrow(run, "name string, slot long, off long, counter long, empty long, held boolean, repeats long")
+    at, own = F.col("at"), F.col("at") == F.col("slot")
+    each = spans.select("*", F.explode(F.sequence(F.col("slot") - F.col("empty"), F.col("slot"))).alias("at"))
+    return each.select(
+        F.col("name").alias(key), at.alias("slot"), F.when(own, "frame").when(F.col("held"), "held").otherwise("fill").alias("kind"),
+        F.when(own, F.col("counter")).otherwise(F.col("repeats")).alias("counter"), F.when(own, F.col("off")).alias("off_ticks"),
+    )
 
 
 def monotonic(times: list[int | None], nominal: int) -> list[tuple[int, bool]]:

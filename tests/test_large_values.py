@@ -65,3 +65,21 @@ def test_lost_between_of_wide_pairs(spark):
     wide = spark.range(1_000_000).select((F.col("id") % 65536).alias("a"), ((F.col("id") * 31 + 60000) % 65536).alias("b"))
     assert joins.lost_between(wide, spark.range(65536).select(F.col("id").alias("c")), "a", "b", "c").where("lost_between").count() > 900_000
     assert time.time() - start < 60
+
+
+def test_schedule_equals_place_slots_and_takes_long_gaps(spark):
+    rng = random.Random(9)
+    frames = [{"capture_id": c, "line": i, "counter": i + i // 9, "pts_num": i * 1001, "pts_den": 30000, "audio_pts_known": int(rng.random() < 0.8), "audio_pts_num": i * 8008 + (i // 9) * 8008 * (1 + i % 4) + rng.randrange(9000)} for c in "ab" for i in range(200)]
+    ddl = "capture_id string, line long, counter long, pts_num long, pts_den long, audio_pts_known int, audio_pts_num long"
+    units = [{"capture_id": c, "line": -1, "counter": n, "format": 0, "kind": 1, "transport": 0, "host_lost": int(n % 30 == 9)} for c in "ab" for n in range(0, 220, 3)]
+    got = placement.schedule(spark.createDataFrame(frames, ddl), spark.createDataFrame(units, "capture_id string, line long, counter long, format int, kind int, transport int, host_lost int")).collect()
+    want = []
+    for c in "ab":
+        rows, seen = [f for f in frames if f["capture_id"] == c], [u for u in units if u["capture_id"] == c]
+        slots = placement.place_slots(rows, seen, [u["counter"] for u in seen if u["host_lost"]])
+        want += [(c, s["slot"], s["kind"], None if s["frame"] is None else rows[s["frame"]]["counter"], s["off_ticks"]) for s in slots]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and {r.kind for r in got} == {"frame", "held", "fill"}
+    # Millions of empty slots between two frames are made where they are written.
+    far = [("a", 0, 0, 0, 30000, 1, 0), ("a", 1, 1, 0, 30000, 1, 8008 * 20_000_000)]
+    start = time.time()
+    assert placement.schedule(spark.createDataFrame(far, ddl)).groupBy("kind").count().collect() and time.time() - start < 15
