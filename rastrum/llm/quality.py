@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters (operator 6).
 
-A model of `ORDER`-grams of characters for each language, trained on trusted text: a
-sample, bounded by PER_LANGUAGE and MOST_TRAINED documents, of those labelled quality 1 and not toxic. Its
+A model of `ORDER`-grams of characters for each language, trained on trusted text: all
+documents labelled quality 1 and not toxic, but for the held-out ones. Its
 counts stay in distributed tables, keyed by language and n-gram, and all of them are kept.
 Scoring joins them in shards: documents are packed into chunks of bounded size; each
 chunk asks each of SHARDS shards for its distinct n-grams; shards are split by groups of GROUP
@@ -20,7 +20,7 @@ held-out text is there no limit. A language without trusted text to train on has
 and its texts are judged by their words alone: other languages say nothing about them.
 
 Toxic words don't make a text improbable, so they are evidence of their own: of each word the
-labelled documents tell (a sample with the same bounds, without the held-out fifth, equal texts
+labelled documents tell (all but the held-out fifth, equal texts
 once) how many that hold it are toxic. A word speaks for toxic documents if the share's posterior lies over TOXIC_BOUND
 by TOXIC_Z deviations. A document is rejected for two such words, or for one whose bound is TOXIC_ALONE or more, however long it is;
 toxicity is the greatest bound of a rejected document's words.
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +52,12 @@ SLICE_CHARS = 500_000
 ROUNDING = 1e-9
 QUANTILE, LEAST_HELD, HELD_OUT, SHORT, SCALE = 0.98, 500, 5, 30, 4096
 NO_LANG = "\x00"
-#: Bounds of the sample of labelled documents that the model is trained on.
-PER_LANGUAGE, MOST_TRAINED = 6_000, 24_000
+#: Ids of labelled documents that go to every task at a time; more are taken in blocks, each with a pass over the documents.
+MOST_IDS = 1_000_000
 #: Documents that the toxic share of all stands for in a word's; deviations; the share that a word must exceed; toxic documents a word needs.
 TOXIC_PRIOR, TOXIC_Z, TOXIC_BOUND, TOXIC_LEAST = 1.0, 2.0, 0.5, 2
 #: The share's bound from which on a word is enough by itself.
 TOXIC_ALONE = 0.65
-#: Partitions of the model's tables, which the sample bounds.
-MODEL_PARTS = 16
 #: Characters of an n-gram that choose its shard; shards of a group of chunks; chunks of a group.
 HEAD, SHARDS, GROUP = 3, 64, 64
 START, END = "\x02", "\x03"
@@ -125,15 +124,22 @@ class Grams:
             codes_of.append(codes[first[:, None] + np.arange(ORDER)])
             lengths = np.diff(np.concatenate([[0], ends])) - ORDER + 1
             self.slices.append((at, index, np.cumsum(lengths)))
-        hashes, codes = np.concatenate(found), np.concatenate(codes_of)
+        hashes, ends = np.concatenate(found), np.cumsum([len(x) for x in found])
+        del found
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        names = np.ascontiguousarray(codes[first]).view(f"<U{ORDER}").ravel()
+        del hashes
+        # Slice by slice, and each goes when it has been read: together they are the largest thing here.
+        codes = np.empty((len(first), ORDER), np.uint32)
+        for i, a in enumerate(np.concatenate([[0], ends[:-1]])):
+            here = np.flatnonzero((first >= a) & (first < ends[i]))
+            codes[here] = codes_of[i][first[here] - a]
+            codes_of[i] = None
+        names = codes.view(f"<U{ORDER}").ravel()
         order = np.argsort(names)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         self.names = names[order]
-        ends = np.cumsum([len(x) for x in found[1:]])
-        parts = np.split(rank[inverse], ends[:-1]) if len(ends) else []
+        parts = np.split(rank[inverse], ends[1:-1]) if len(ends) > 1 else []
         for i, part in enumerate(parts):
             at, index, stops = self.slices[i]
             self.slices[i] = at, part[index], stops
@@ -232,7 +238,7 @@ class Model:
     """
 
     def __init__(self, trusted: DataFrame):
-        five = counted_grams(trusted).coalesce(MODEL_PARTS).checkpoint()
+        five = counted_grams(trusted).checkpoint()
         longer = five.select("lang", F.explode(F.sequence(F.lit(1), F.lit(ORDER - 1))).alias("k"), "gram").select("lang", "k", F.expr(f"substring(gram, {ORDER} - k, k + 1)").alias("gram")).distinct()
         lower = longer.groupBy("lang", "k", F.expr("substring(gram, 2, k)").alias("gram")).agg(F.count("*").alias("n"))
         counts = lower.unionByName(five.withColumn("k", F.lit(ORDER)))
@@ -241,7 +247,7 @@ class Model:
             F.sum("n").alias("total"), *[of(F.col("n") == i).alias(f"c{i}") for i in (1, 2, 3, 4)], of(F.col("n") >= 3).alias("more"),
             F.map_from_entries(F.collect_list(F.struct(F.expr("substring(gram, k, 1)"), F.col("n")))).alias("next"),
         )
-        self.contexts = told.coalesce(MODEL_PARTS).checkpoint()
+        self.contexts = told.checkpoint()
         # A row for each language and order.
         sums = self.contexts.groupBy("lang", "k").agg(*[F.greatest(F.sum(f"c{i}"), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
         fit = lambda x, top: min(max(x, 0.05), top)
@@ -273,15 +279,15 @@ class Model:
 
 
 def toxic_words(docs: DataFrame, marks: DataFrame) -> dict[bytes, float]:
-    """Words that speak for a toxic document, and how surely. marks: doc_id, toxic (0 or 1), once an id; their sample bounds the words."""
-    chosen = marks.join(F.broadcast(sampled(marks.select("doc_id"), docs)), "doc_id", "left_semi")
-    # Equal texts count once; ids and hashes of the sample are bounded, so no text moves.
+    """Words that speak for a toxic document, and how surely. marks: doc_id, toxic (0 or 1), once an id."""
+    # Equal texts count once; only ids and hashes move.
     mark = F.xxhash64("text").alias("mark")
-    once = docs.where("text IS NOT NULL").select("doc_id", mark).join(F.broadcast(chosen), "doc_id").groupBy("mark").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).checkpoint()
+    known = with_ids(docs.where("text IS NOT NULL").select("doc_id", mark), marks, ["doc_id"])
+    once = known.groupBy("mark").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).checkpoint()
     sums = once.agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).first()
     if not sums.a:
         return {}
-    texts = docs.select("doc_id", "text", mark).join(F.broadcast(once), ["doc_id", "mark"])
+    texts = with_ids(docs.select("doc_id", "text", mark), once, ["doc_id", "mark"])
     held = map_rows(texts, ["toxic", "text"], lambda toxic, text: (toxic, list(set(words_of(prepared(text))))), "toxic int, word array<binary>")
     told = held.select("toxic", F.explode("word").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("a") >= TOXIC_LEAST)
     mean = (F.col("a") + TOXIC_PRIOR * sums.a / sums.n) / (F.col("n") + TOXIC_PRIOR)
@@ -353,17 +359,18 @@ def scores(docs: DataFrame, model: Model, toxic: dict[bytes, float]) -> DataFram
         known = model.probabilities(needed.select("lang", "gram")).withColumn("shard", F.pmod(F.crc32(F.concat("lang", F.lit("/"), F.substring("gram", 1, HEAD)).cast("binary")), F.lit(SHARDS)).cast("long")).withColumn("part", F.lit(0).cast("long"))
     else:
         known = needed.join(model.probabilities(needed.select("lang", "gram").distinct()), ["lang", "gram"])
-    answered = asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(_answered, "chunk string, shard long, lang string, bits binary")
+    # Written before the documents move, so that requests and joins are gone by then.
+    answered = asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(_answered, "chunk string, shard long, lang string, bits binary").checkpoint()
+    del asked, needed, known
+    forget_shuffles(docs.sparkSession)
     return answered.groupBy("chunk").cogroup(packed(docs, CHUNK_CHARS).groupBy("chunk")).applyInArrow(_scored(docs.sparkSession.sparkContext.broadcast(toxic)), "doc_id long, lang string, mark long, n_scored long, bits double, toxicity double")
 
 
-def sampled(trusted: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id of the trusted documents to train on: by a hash of the id, about PER_LANGUAGE of each language, about MOST_TRAINED of all."""
-    known = docs.select("doc_id", F.coalesce("lang", F.lit(NO_LANG)).alias("lang")).join(trusted, "doc_id").checkpoint()
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).checkpoint()
-    total = sizes.agg(F.sum(F.least("n", F.lit(PER_LANGUAGE)))).first()[0] or 1
-    share = F.least(F.lit(1.0), F.lit(PER_LANGUAGE) / F.col("n")) * min(1.0, MOST_TRAINED / total)
-    return known.join(small(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < share * 1_000_000).select("doc_id").distinct()
+def with_ids(docs: DataFrame, ids: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """The rows of docs whose doc_id is among ids, joined to them, without moving a text: ids are broadcast, a block of about MOST_IDS at a time."""
+    blocks = -(-ids.count() // MOST_IDS) or 1
+    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(ids.where(block == b) if blocks > 1 else ids), on, how) for b in range(blocks)])
 
 
 def _mark() -> Column:
@@ -402,13 +409,11 @@ def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = marks.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     plain = docs.select("doc_id", "lang", "text")
-    # The sample's ids are bounded, so they go to every task and no text moves.
-    chosen = sampled(trusted.where(~held_out), plain)
-    model = Model(plain.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    model = Model(with_ids(plain, trusted.where(~held_out).checkpoint(), ["doc_id"], "left_semi"))
     # Scores are read twice: for the quantiles, and against them.
-    toxic = toxic_words(plain, marks.where(~held_out & F.col("toxic").isin(0, 1)).select("doc_id", "toxic"))
+    toxic = toxic_words(plain, marks.where(~held_out & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").checkpoint())
     scored = scores(docs, model, toxic).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG))).checkpoint()
-    # Languages with a model: not more than the sample has documents.
+    # Languages with a model; joined by a shuffle if there are many.
     by_lang = limits(scored.join(trusted.where(held_out), "doc_id", "left_semi"), scored.where("bits IS NOT NULL").select("lang").distinct())
     out = scored.join(small(by_lang.checkpoint()), "lang", "left").withColumn("strain", strain())
     return out.select("doc_id", "mark", F.nullif("lang", F.lit(NO_LANG)).alias("lang"), "n_scored", "bits", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "toxicity", "strain", "limit", (F.coalesce(F.col("strain") <= F.col("limit") + ROUNDING, F.lit(True)) & F.col("toxicity").isNull()).alias("keep"))
