@@ -275,6 +275,10 @@ class Model:
             off = F.when(n >= 3, F.col("d3")).when(n == 2, F.col("d2")).otherwise(F.col("d1"))
             high = F.coalesce((n - off) / F.col("total"), F.lit(0.0))
             p = now.select("lang", "gram", (high + F.coalesce("rest", F.lit(1.0)) * F.col("lower")).alias("p"))
+            if k == ORDER - 1:
+                # The shuffles of the lower orders go before the widest one begins.
+                p = p.checkpoint()
+                forget_shuffles(grams.sparkSession)
         return p
 
 
