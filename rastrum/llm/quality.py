@@ -43,11 +43,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_shard, checkpoint_dir, chunks, forget_shuffles, map_rows, mix64, packed, release_memory, small, steady, unpacked, words_of
+from .common import arrow_rows, by_shard, checkpoint_dir, chunks, forget_shuffles, map_rows, mix64, packed, release_memory, small, steady, unpacked, words_of
 
 ORDER = 5
 CHUNK_CHARS = 14_000_000
 SLICE_CHARS = 500_000
+#: Texts that a Python worker and the JVM beside it hold at a time besides a chunk.
+TEXT_ROWS = 1024
 #: The limit is a mean of quantiles: a text at it stays, however it is rounded.
 ROUNDING = 1e-9
 QUANTILE, LEAST_HELD, HELD_OUT, SHORT, SCALE = 0.98, 500, 5, 30, 4096
@@ -72,7 +74,8 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     n = len(codes) - ORDER + 1
     h = codes[:n].astype(np.uint64)
     for k in range(1, ORDER):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[k : k + n]
         h ^= h >> np.uint64(29)
     return mix64(h)
 
@@ -106,10 +109,15 @@ def slices(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray
 
 
 class Grams:
-    """The distinct n-grams of some texts, sorted, and which of them stands at each place of each text."""
+    """The distinct n-grams of some texts, sorted, and which of them stands at each place of each text.
+
+    slices: whose the pieces are; the ids of the slice's n-grams and which of these stands at each place; ends of the pieces.
+    """
 
     def __init__(self, texts: list[str]):
-        found, codes_of, self.slices = [np.zeros(0, np.uint64)], [np.zeros((0, ORDER), np.uint32)], []
+        # The hashes found so far, in order, and their numbers; what slices share is held once.
+        known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        codes_of, self.slices = [np.zeros((0, ORDER), np.uint32)], []
         for at, codes, ends in slices(texts):
             # Windows that lie across two pieces begin in the last ORDER - 1 places of one.
             own = np.ones(len(codes) - ORDER + 1, bool)
@@ -120,34 +128,34 @@ class Grams:
             index, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy()
             first = np.empty(len(distinct), np.int64)
             first[index[::-1]] = where[::-1]
-            found.append(distinct)
-            codes_of.append(codes[first[:, None] + np.arange(ORDER)])
+            place = np.searchsorted(known, distinct)
+            new = np.ones(len(distinct), bool)
+            inside = np.flatnonzero(place < len(known))
+            new[inside] = known[place[inside]] != distinct[inside]
+            ids = np.empty(len(distinct), np.int32)
+            ids[~new] = number[place[~new]]
+            new = np.flatnonzero(new)
+            new = new[np.argsort(distinct[new])]
+            ids[new] = np.arange(len(known), len(known) + len(new))
+            codes_of.append(codes[first[new][:, None] + np.arange(ORDER)])
+            known, number = np.insert(known, place[new], distinct[new]), np.insert(number, place[new], ids[new])
             lengths = np.diff(np.concatenate([[0], ends])) - ORDER + 1
-            self.slices.append((at, index, np.cumsum(lengths)))
-        hashes, ends = np.concatenate(found), np.cumsum([len(x) for x in found])
-        del found
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        del hashes
-        # Slice by slice, and each goes when it has been read: together they are the largest thing here.
-        codes = np.empty((len(first), ORDER), np.uint32)
-        for i, a in enumerate(np.concatenate([[0], ends[:-1]])):
-            here = np.flatnonzero((first >= a) & (first < ends[i]))
-            codes[here] = codes_of[i][first[here] - a]
-            codes_of[i] = None
-        names = codes.view(f"<U{ORDER}").ravel()
+            # A slice's places are numbers among its own n-grams, as narrow as they can be: together they are the largest thing here.
+            self.slices.append((at, (ids, index.astype(np.uint16 if len(distinct) <= 1 << 16 else np.int32)), np.cumsum(lengths)))
+            del codes, own, where, coded, index, distinct, first, place, inside
+        del known, number
+        names = np.concatenate(codes_of).view(f"<U{ORDER}").ravel()
+        del codes_of
         order = np.argsort(names)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         self.names = names[order]
-        parts = np.split(rank[inverse], ends[1:-1]) if len(ends) > 1 else []
-        for i, part in enumerate(parts):
-            at, index, stops = self.slices[i]
-            self.slices[i] = at, part[index], stops
+        self.slices = [(at, (rank[ids], index), ends) for at, (ids, index), ends in self.slices]
 
     def counts(self) -> np.ndarray:
         total = np.zeros(len(self.names), np.int64)
-        for _, ids, _ in self.slices:
-            total += np.bincount(ids, minlength=len(total))
+        for _, (ids, index), _ in self.slices:
+            total[ids] += np.bincount(index, minlength=len(ids))
         return total
 
     def shards(self, lang: str) -> np.ndarray:
@@ -161,12 +169,13 @@ def shard_of(lang: str, head: str) -> int:
 
 
 def _by_language(t: pa.Table) -> Iterator[tuple[str | None, list[int], list[str]]]:
-    langs, texts = t.column(1).to_pylist(), t.column(t.num_columns - 1).to_pylist()
+    """Each language, its rows and prepared texts; the texts of one language at a time become Python's."""
     rows: dict[str | None, list[int]] = {}
-    for i, x in enumerate(langs):
+    for i, x in enumerate(t.column(1).to_pylist()):
         rows.setdefault(x, []).append(i)
+    texts = t.column(t.num_columns - 1)
     for lang in sorted(rows, key=lambda x: (x is None, x)):
-        yield lang, rows[lang], [prepared(texts[i]) for i in rows[lang]]
+        yield lang, rows[lang], [prepared(texts[i].as_py()) for i in rows[lang]]
 
 
 def _named(lang: str | None) -> str:
@@ -238,7 +247,8 @@ class Model:
     """
 
     def __init__(self, trusted: DataFrame):
-        five = counted_grams(trusted).checkpoint()
+        with arrow_rows(trusted.sparkSession, TEXT_ROWS):
+            five = counted_grams(trusted).checkpoint()
         longer = five.select("lang", F.explode(F.sequence(F.lit(1), F.lit(ORDER - 1))).alias("k"), "gram").select("lang", "k", F.expr(f"substring(gram, {ORDER} - k, k + 1)").alias("gram")).distinct()
         lower = longer.groupBy("lang", "k", F.expr("substring(gram, 2, k)").alias("gram")).agg(F.count("*").alias("n"))
         counts = lower.unionByName(five.withColumn("k", F.lit(ORDER)))
@@ -296,7 +306,8 @@ def toxic_words(docs: DataFrame, marks: DataFrame) -> dict[bytes, float]:
     told = held.select("toxic", F.explode("word").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("a") >= TOXIC_LEAST)
     mean = (F.col("a") + TOXIC_PRIOR * sums.a / sums.n) / (F.col("n") + TOXIC_PRIOR)
     sure = mean - TOXIC_Z * F.sqrt(mean * (1 - mean) / (F.col("n") + TOXIC_PRIOR + 1))
-    return {bytes(r.word): r.sure for r in told.select("word", sure.alias("sure")).where(F.col("sure") >= TOXIC_BOUND).collect()}
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return {bytes(r.word): r.sure for r in told.select("word", sure.alias("sure")).where(F.col("sure") >= TOXIC_BOUND).collect()}
 
 
 def toxicity(text: str, toxic: dict[bytes, float]) -> float:
@@ -311,8 +322,8 @@ def _scored(toxic):
     def run(key: tuple, answers: pa.Table, mine: pa.Table) -> pa.Table:
         told = {(s, x): np.frombuffer(b, np.float32) for s, x, b in zip(*(answers.column(c).to_pylist() for c in ("shard", "lang", "bits")), strict=True)}
         out: list[pa.Table] = []
-        for blob in mine.column("docs").to_pylist():
-            t = unpacked(blob)
+        for blob in mine.column("docs"):
+            t = unpacked(blob.as_py())
             bits, size, worst = np.full(t.num_rows, np.nan), np.zeros(t.num_rows, np.int64), np.full(t.num_rows, np.nan)
             for lang, rows, texts in _by_language(t):
                 rows = np.array(rows)
@@ -329,8 +340,8 @@ def _scored(toxic):
                         cost[at] = got
                     else:
                         known = False
-                for at, ids, ends in grams.slices if known else []:
-                    total = np.concatenate([[0.0], np.cumsum(cost[ids])])
+                for at, (ids, index), ends in grams.slices if known else []:
+                    total = np.concatenate([[0.0], np.cumsum(cost[ids][index])])
                     starts = np.concatenate([[0], ends[:-1]])
                     # A very long document has several pieces.
                     np.add.at(total_of, at, total[ends] - total[starts])
@@ -352,8 +363,9 @@ def scores(docs: DataFrame, model: Model, toxic: dict[bytes, float]) -> DataFram
     """doc_id, lang, mark (hash of language and text), n_scored, bits (a character; null without characters or model), toxicity (null without toxic words): one row for each row of docs."""
     docs = steady(docs.select("doc_id", "lang", _mark().alias("mark"), "text"))
     forget_shuffles(docs.sparkSession)
-    # Read twice: for the distinct n-grams, and to be answered.
-    asked = docs.mapInArrow(_asked, "chunk string, shard long, lang string, grams binary").checkpoint()
+    # Read twice, with the same rows at a time: for the distinct n-grams, and to be answered.
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        asked = docs.mapInArrow(_asked, "chunk string, shard long, lang string, grams binary").checkpoint()
     parts = -(-asked.select("chunk").distinct().count() // GROUP) or 1
     asked = asked.withColumn("part", F.pmod(F.crc32("chunk"), F.lit(parts)))
     needed = asked.groupBy("shard", "part").applyInArrow(_distinct, "shard long, part long, lang string, gram string").checkpoint()
@@ -367,7 +379,9 @@ def scores(docs: DataFrame, model: Model, toxic: dict[bytes, float]) -> DataFram
     answered = asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(_answered, "chunk string, shard long, lang string, bits binary").checkpoint()
     del asked, needed, known
     forget_shuffles(docs.sparkSession)
-    return answered.groupBy("chunk").cogroup(packed(docs, CHUNK_CHARS).groupBy("chunk")).applyInArrow(_scored(docs.sparkSession.sparkContext.broadcast(toxic)), "doc_id long, lang string, mark long, n_scored long, bits double, toxicity double")
+    scored = answered.groupBy("chunk").cogroup(packed(docs, CHUNK_CHARS).groupBy("chunk")).applyInArrow(_scored(docs.sparkSession.sparkContext.broadcast(toxic)), "doc_id long, lang string, mark long, n_scored long, bits double, toxicity double")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return scored.checkpoint()
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -414,9 +428,9 @@ def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     plain = docs.select("doc_id", "lang", "text")
     model = Model(with_ids(plain, trusted.where(~held_out).checkpoint(), ["doc_id"], "left_semi"))
-    # Scores are read twice: for the quantiles, and against them.
     toxic = toxic_words(plain, marks.where(~held_out & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").checkpoint())
-    scored = scores(docs, model, toxic).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG))).checkpoint()
+    # Scores are read twice: for the quantiles, and against them.
+    scored = scores(docs, model, toxic).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
     # Languages with a model; joined by a shuffle if there are many.
     by_lang = limits(scored.join(trusted.where(held_out), "doc_id", "left_semi"), scored.where("bits IS NOT NULL").select("lang").distinct())
     out = scored.join(small(by_lang.checkpoint()), "lang", "left").withColumn("strain", strain())
