@@ -126,18 +126,41 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def forget_tables(*tables: DataFrame) -> None:
+    """Delete the files of tables that checkpoint() returned and that nothing reads any more."""
+    for t in tables:
+        held = t._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if held.isDefined():
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(held.get())
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Python workers get at most this many rows at a time in what is computed inside: for rows that may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most this many rows at a time in what is computed inside: for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    with _setting(spark, name, str(min(rows, before) if before > 0 else rows)):
+        yield
+
+
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Each table made inside is written or collected once: the files of its shuffles go as soon as that has ended, whatever still refers to them."""
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
 #: Rows of narrow columns that may be broadcast, in some MB.
 SMALL_ROWS = 50_000
 

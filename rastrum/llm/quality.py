@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, by_shard, checkpoint_dir, chunks, forget_shuffles, map_rows, mix64, packed, release_memory, small, steady, unpacked, words_of
+from .common import arrow_rows, brief_shuffles, by_shard, checkpoint_dir, chunks, forget_shuffles, forget_tables, map_rows, mix64, packed, release_memory, small, steady, unpacked, words_of
 
 ORDER = 5
 CHUNK_CHARS = 14_000_000
@@ -258,6 +258,8 @@ class Model:
             F.map_from_entries(F.collect_list(F.struct(F.expr("substring(gram, k, 1)"), F.col("n")))).alias("next"),
         )
         self.contexts = told.checkpoint()
+        forget_tables(five)
+        self.tables = [self.contexts]
         # A row for each language and order.
         sums = self.contexts.groupBy("lang", "k").agg(*[F.greatest(F.sum(f"c{i}"), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
         fit = lambda x, top: min(max(x, 0.05), top)
@@ -270,6 +272,7 @@ class Model:
     def probabilities(self, grams: DataFrame) -> DataFrame:
         """lang, gram, p for distinct (lang, gram) of order ORDER; languages without a model drop out."""
         need = grams.select("lang", F.explode(F.sequence(F.lit(1), F.lit(ORDER - 1))).alias("k"), "gram").select("lang", "k", F.expr(f"substring(gram, {ORDER + 1} - k, k)").alias("gram")).distinct().checkpoint()
+        self.tables.append(need)
         p: DataFrame | None = None
         for k in range(1, ORDER + 1):
             now = need.where(F.col("k") == k).drop("k") if k < ORDER else grams
@@ -288,9 +291,14 @@ class Model:
             if k == ORDER - 1:
                 # The shuffles of the lower orders go before the widest one begins.
                 p = p.checkpoint()
+                self.tables.append(p)
                 forget_shuffles(grams.sparkSession)
         return p
 
+    def forget(self) -> None:
+        """Delete the model's tables: no more probabilities, and those asked for must have been written."""
+        forget_tables(*self.tables)
+
 
 def toxic_words(docs: DataFrame, marks: DataFrame) -> dict[bytes, float]:
     """Words that speak for a toxic document, and how surely. marks: doc_id, toxic (0 or 1), once an id."""
@@ -360,15 +368,15 @@ _NOTHING = pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa
 
 
 def scores(docs: DataFrame, model: Model, toxic: dict[bytes, float]) -> DataFrame:
-    """doc_id, lang, mark (hash of language and text), n_scored, bits (a character; null without characters or model), toxicity (null without toxic words): one row for each row of docs."""
+    """doc_id, lang, mark (hash of language and text), n_scored, bits (a character; null without characters or model), toxicity (null without toxic words): one row for each row of docs. The model goes with its last answer."""
     docs = steady(docs.select("doc_id", "lang", _mark().alias("mark"), "text"))
     forget_shuffles(docs.sparkSession)
     # Read twice, with the same rows at a time: for the distinct n-grams, and to be answered.
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
         asked = docs.mapInArrow(_asked, "chunk string, shard long, lang string, grams binary").checkpoint()
     parts = -(-asked.select("chunk").distinct().count() // GROUP) or 1
-    asked = asked.withColumn("part", F.pmod(F.crc32("chunk"), F.lit(parts)))
-    needed = asked.groupBy("shard", "part").applyInArrow(_distinct, "shard long, part long, lang string, gram string").checkpoint()
+    parted = asked.withColumn("part", F.pmod(F.crc32("chunk"), F.lit(parts)))
+    needed = parted.groupBy("shard", "part").applyInArrow(_distinct, "shard long, part long, lang string, gram string").checkpoint()
     forget_shuffles(docs.sparkSession)
     if parts == 1:
         # Each n-gram is asked for once.
@@ -376,12 +384,16 @@ def scores(docs: DataFrame, model: Model, toxic: dict[bytes, float]) -> DataFram
     else:
         known = needed.join(model.probabilities(needed.select("lang", "gram").distinct()), ["lang", "gram"])
     # Written before the documents move, so that requests and joins are gone by then.
-    answered = asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(_answered, "chunk string, shard long, lang string, bits binary").checkpoint()
-    del asked, needed, known
+    answered = parted.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(_answered, "chunk string, shard long, lang string, bits binary").checkpoint()
+    model.forget()
+    forget_tables(asked, needed)
+    del asked, parted, needed, known
     forget_shuffles(docs.sparkSession)
     scored = answered.groupBy("chunk").cogroup(packed(docs, CHUNK_CHARS).groupBy("chunk")).applyInArrow(_scored(docs.sparkSession.sparkContext.broadcast(toxic)), "doc_id long, lang string, mark long, n_scored long, bits double, toxicity double")
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
-        return scored.checkpoint()
+        scored = scored.checkpoint()
+    forget_tables(answered)
+    return scored
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -427,13 +439,14 @@ def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = marks.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     plain = docs.select("doc_id", "lang", "text")
-    model = Model(with_ids(plain, trusted.where(~held_out).checkpoint(), ["doc_id"], "left_semi"))
-    toxic = toxic_words(plain, marks.where(~held_out & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").checkpoint())
-    # Scores are read twice: for the quantiles, and against them.
-    scored = scores(docs, model, toxic).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
-    # Languages with a model; joined by a shuffle if there are many.
-    by_lang = limits(scored.join(trusted.where(held_out), "doc_id", "left_semi"), scored.where("bits IS NOT NULL").select("lang").distinct())
-    out = scored.join(small(by_lang.checkpoint()), "lang", "left").withColumn("strain", strain())
+    with brief_shuffles(docs.sparkSession):
+        model = Model(with_ids(plain, trusted.where(~held_out).checkpoint(), ["doc_id"], "left_semi"))
+        toxic = toxic_words(plain, marks.where(~held_out & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").checkpoint())
+        # Scores are read twice: for the quantiles, and against them.
+        scored = scores(docs, model, toxic).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
+        # Languages with a model; joined by a shuffle if there are many.
+        by_lang = limits(scored.join(trusted.where(held_out), "doc_id", "left_semi"), scored.where("bits IS NOT NULL").select("lang").distinct()).checkpoint()
+    out = scored.join(small(by_lang), "lang", "left").withColumn("strain", strain())
     return out.select("doc_id", "mark", F.nullif("lang", F.lit(NO_LANG)).alias("lang"), "n_scored", "bits", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "toxicity", "strain", "limit", (F.coalesce(F.col("strain") <= F.col("limit") + ROUNDING, F.lit(True)) & F.col("toxicity").isNull()).alias("keep"))
 
 
