@@ -240,6 +240,9 @@ def _answered(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "lang": asked.column("lang"), "bits": pa.array([x.astype(np.float32).tobytes() for x in out], pa.binary())})
 
 
+_DISCOUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("d1", pa.float64()), ("d2", pa.float64()), ("d3", pa.float64())])
+
+
 class Model:
     """A row for each language, order k and context: sum of its counts, share left to the order below, counts of what follows.
 
@@ -266,8 +269,9 @@ class Model:
         rows = []
         for r in sums:
             y = r.n1 / (r.n1 + 2 * r.n2)
-            rows.append((r.lang, r.k, fit(1 - 2 * y * r.n2 / r.n1, 0.95), fit(2 - 3 * y * r.n3 / r.n2, 1.95), fit(3 - 4 * y * r.n4 / r.n3, 2.95)))
-        self.discounts = trusted.sparkSession.createDataFrame(rows, "lang string, k int, d1 double, d2 double, d3 double")
+            rows.append({"lang": r.lang, "k": r.k, "d1": fit(1 - 2 * y * r.n2 / r.n1, 0.95), "d2": fit(2 - 3 * y * r.n3 / r.n2, 1.95), "d3": fit(3 - 4 * y * r.n4 / r.n3, 2.95)})
+        # From Arrow: a list would be read by Python workers of another kind, a second daemon and its workers in every executor.
+        self.discounts = trusted.sparkSession.createDataFrame(pa.Table.from_pylist(rows, _DISCOUNTS))
 
     def probabilities(self, grams: DataFrame) -> DataFrame:
         """lang, gram, p for distinct (lang, gram) of order ORDER; languages without a model drop out."""

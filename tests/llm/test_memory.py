@@ -45,3 +45,13 @@ def test_texts_come_a_bound_number_at_a_time(spark, monkeypatch):
     for name in ("_asked", "_counted"):
         monkeypatch.setattr(quality, name, bound(getattr(quality, name)))
     assert judged() == plain and len(plain) == 300
+
+
+def test_discounts_need_no_python_worker(spark):
+    docs = spark.createDataFrame([(i, "one and another text of some words", "en" if i else None) for i in range(9)], "doc_id long, text string, lang string")
+    quality.checkpoint_dir(spark)
+    for some in (docs, docs.limit(0)):
+        told = quality.Model(some).discounts
+        assert told._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
+        assert told.count() == (2 * quality.ORDER if some is docs else 0)
+        assert told.dtypes == [("lang", "string"), ("k", "int"), ("d1", "double"), ("d2", "double"), ("d3", "double")]
