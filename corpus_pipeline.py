@@ -6,10 +6,13 @@ next one's docs. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rastrum.llm import bpe, decontaminate, line_dedup, near_dup, quality
-from rastrum.llm.common import checkpoint_dir, table
+from rastrum.llm.common import checkpoint_dir, release_heaps, table
 from rastrum.llm.queries import WORD_BPE, tokenizer_path
 
 
@@ -38,12 +41,23 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode_documents(docs, tokenizer_path(WORD_BPE))
 
 
+def afresh(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, begun on executors that have given back what the one before left in their heaps."""
+
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("line dedup", line_dedup_stage),
-    ("MinHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("BPE encoding and decoding", bpe_encoding),
+    ("quality classifier", afresh(quality_classifier)),
+    ("line dedup", afresh(line_dedup_stage)),
+    ("MinHash near-dedup", afresh(near_dedup)),
+    ("benchmark decontamination", afresh(decontamination)),
+    ("BPE encoding and decoding", afresh(bpe_encoding)),
 ]
 
 #: SQL can't express the stages; tests hold the pipeline against a brute-force version.

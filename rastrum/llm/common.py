@@ -126,6 +126,13 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Let idle executors give back what their heaps don't hold any more: a heap that large pages have widened stays
+    wide until the executor next marks it, and workers need the room. A task a core; requests at a time in one executor are one collection."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
 def forget_tables(*tables: DataFrame) -> None:
     """Delete the files of tables that checkpoint() returned and that nothing reads any more."""
     for t in tables:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from rastrum.llm import quality
 
 
@@ -55,3 +56,12 @@ def test_discounts_need_no_python_worker(spark):
         assert told._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
         assert told.count() == (2 * quality.ORDER if some is docs else 0)
         assert told.dtypes == [("lang", "string"), ("k", "int"), ("d1", "double"), ("d2", "double"), ("d3", "double")]
+
+
+def test_stages_begin_with_small_heaps(spark):
+    docs = spark.createDataFrame([(1, "a few words")], "doc_id long, text string")
+    full = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        before = full()
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert full() > before, name
